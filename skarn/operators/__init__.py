@@ -1,0 +1 @@
+"""Operators of the retrieval and corpus analytics engine."""

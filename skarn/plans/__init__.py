@@ -1,0 +1 @@
+"""Plans of the retrieval and corpus analytics engine."""

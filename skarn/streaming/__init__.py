@@ -1,0 +1 @@
+"""Streaming of the retrieval and corpus analytics engine."""
