@@ -2,18 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skarn.functions.runtime import table
-from skarn.llm import simhash
+from skarn.llm import chat, langid, packing, simhash
+
+
+def fold(of: int) -> Column:
+    """crc32 of the doc_id as text, modulo ``of``."""
+    return F.crc32(F.col("doc_id").cast("string")) % of
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(table(spark, sf_dir, "conversations"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(fold(5) != 0))
+    return langid.predict(docs, model, extra={"held_out": fold(5) == 0})
+
+
 QUERIES = {
+    "op4_chat": op4_chat,
     "op5_simhash": op5_simhash,
+    "op9_packing": op9_packing,
+    "op10_language": op10_language,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op4_chat": chat.ORACLE,
+}
