@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.functions.runtime import table
-from skarn.llm import chat, langid, packing, simhash
+from skarn.functions.runtime import checkpoint_dir, cut, table
+from skarn.llm import chat, langid, packing, permutation_index, simhash, warc
 
 
 def fold(of: int) -> Column:
@@ -14,6 +16,16 @@ def fold(of: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % of
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    page = lambda c: F.try_to_number(F.replace(F.col(c), F.lit(warc.RECORD_ID), F.lit("")), F.lit("S9999999999999999999")).cast("long")
+    back = warc.read_archives(spark, path, with_payload=False)
+    back = cut(back.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to")))
+    warc.delete(spark, path)
+    return back
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(table(spark, sf_dir, "conversations"))
 
@@ -22,6 +34,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -33,12 +49,15 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_warc": op3_warc,
     "op4_chat": op4_chat,
     "op5_simhash": op5_simhash,
+    "op8_permutation": op8_permutation,
     "op9_packing": op9_packing,
     "op10_language": op10_language,
 }
 
 ORACLES = {
+    "op3_warc": warc.ORACLE,
     "op4_chat": chat.ORACLE,
 }
