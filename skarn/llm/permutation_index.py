@@ -81,7 +81,7 @@ def search_file(vectors: pa.Table, queries: pa.Table, k: int, n_pivots: int, abs
 
 
 def search(
-    vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 128, posted: int = 8, probed: int = 16, keep: float = 0.75,
+    vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 128, posted: int = 8, probed: int = 20, keep: float = 0.9,
     least: int = 256, file_rows: int = 20_000, query_rows: int = 5_000, id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows that is_query marks, against all rows."""
