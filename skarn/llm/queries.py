@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.functions.runtime import checkpoint_dir, cut, table
-from skarn.llm import chat, langid, packing, permutation_index, simhash, warc
+from skarn.llm import chat, decontaminate, html_text, langid, packing, permutation_index, simhash, warc
 
 
 def fold(of: int) -> Column:
@@ -16,6 +16,10 @@ def fold(of: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % of
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -34,6 +38,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -49,9 +57,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op3_warc": op3_warc,
     "op4_chat": op4_chat,
     "op5_simhash": op5_simhash,
+    "op6_html": op6_html,
     "op8_permutation": op8_permutation,
     "op9_packing": op9_packing,
     "op10_language": op10_language,
