@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.functions.runtime import checkpoint_dir, cut, table
-from skarn.llm import chat, decontaminate, html_text, langid, packing, permutation_index, simhash, warc
+from skarn.llm import chat, decontaminate, html_text, langid, packing, permutation_index, simhash, toxicity, warc
 
 
 def fold(of: int) -> Column:
@@ -20,6 +20,13 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(fold(3) != 1).select("doc_id", "toxic")
+    model = toxicity.fit(docs.where(fold(3) != 1).select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.score(docs, model, extra={"held_out": fold(3) == 1})
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -58,6 +65,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
     "op4_chat": op4_chat,
     "op5_simhash": op5_simhash,
