@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.functions.runtime import checkpoint_dir, cut, table
-from skarn.llm import chat, decontaminate, html_text, langid, packing, permutation_index, simhash, toxicity, warc
+from skarn.llm import chat, decontaminate, html_text, langid, language_model, packing, permutation_index, simhash, toxicity, warc
 
 
 def fold(of: int) -> Column:
@@ -49,6 +49,10 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"), fold(10) != 0, extra={"held_out": fold(10) == 0})
+
+
 def op8_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -70,6 +74,7 @@ QUERIES = {
     "op4_chat": op4_chat,
     "op5_simhash": op5_simhash,
     "op6_html": op6_html,
+    "op7_language_model": op7_language_model,
     "op8_permutation": op8_permutation,
     "op9_packing": op9_packing,
     "op10_language": op10_language,
