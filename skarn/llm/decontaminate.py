@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,8 +35,8 @@ from skarn.functions.runtime import map_arrow
 WORD = re.compile(r"[^\W_]+")
 SENTENCE_END = re.compile(r"[.!?\n]+")
 K1, B = 1.2, 0.75
-BLOCK = 16
-#: A term in more than this share of the items counts by its largest impact of all, in place of one per block.
+BLOCK = 4
+#: Terms in more than this share of the items have their block maxima in a dense table.
 COMMON = 0.1
 SLICE = 1 << 20
 FLUSH = 200_000
@@ -76,8 +77,8 @@ class Index:
     parts: list[tuple[list[str], list[str]]]
     terms: dict[str, int]
     postings: list[list[tuple[int, float]]]  # of each term: (item, impact) by item
-    most: np.ndarray  # of each term: its largest impact
-    common: np.ndarray  # of each term: whether it counts by its largest impact alone
+    common: np.ndarray  # of each term: its row in the dense table of block maxima, or -1
+    dense: np.ndarray
     block_of: np.ndarray  # the other terms' blocks and block maxima, term after term
     block_most: np.ndarray
     block_at: np.ndarray  # of each term: where its blocks begin
@@ -98,24 +99,30 @@ def build_index(items: list[tuple[object, str]]) -> Index:
         total = sum(weight.values())
         for w, x in weight.items():
             postings[terms[w]].append((i, x / total))
-    most = np.array([max(x for _, x in p) for p in postings])
-    common = np.array([len(p) > COMMON * n for p in postings], bool)
+    often = [t for t, p in enumerate(postings) if len(p) > COMMON * n]
+    common, n_blocks = np.full(len(terms), -1), -(-n // BLOCK)
+    common[often] = np.arange(len(often))
+    dense = np.zeros((len(often), n_blocks), np.float32)
     block_of, block_most, block_at = [], [], [0]
     for t, p in enumerate(postings):
         best: dict[int, float] = {}
-        for i, x in [] if common[t] else p:
+        for i, x in p:
             best[i // BLOCK] = max(x, best.get(i // BLOCK, 0.0))
-        block_of += best
-        block_most += best.values()
+        if common[t] >= 0:
+            dense[common[t], list(best)] = list(best.values())
+        else:
+            block_of += best
+            block_most += best.values()
         block_at.append(len(block_of))
-    return Index([i for i, _ in items], parts, terms, postings, most, common, np.array(block_of, np.int64), np.array(block_most), np.array(block_at), max([1, *sizes]), -(-n // BLOCK))
+    return Index([i for i, _ in items], parts, terms, postings, common, dense, np.array(block_of, np.int64), np.array(block_most), np.array(block_at), max([1, *sizes]), n_blocks)
 
 
 def wand(index: Index, terms: list[int], block: int, least: float) -> list[tuple[int, float]]:
     """(item, score) of the block's items that score at least ``least`` for these distinct terms."""
     lists = []
     for t in terms:
-        p = [x for x in index.postings[t] if x[0] // BLOCK == block]
+        whole = index.postings[t]
+        p = whole[bisect_left(whole, (block * BLOCK,)) : bisect_left(whole, ((block + 1) * BLOCK,))]
         if p:
             lists.append([0, p, max(x for _, x in p)])
     found = []
@@ -148,16 +155,18 @@ def wand(index: Index, terms: list[int], block: int, least: float) -> list[tuple
 
 def survivors(index: Index, passage: np.ndarray, term: np.ndarray, n: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """(passage, block) pairs whose sums of block maxima reach the threshold; passage and term list distinct pairs."""
-    is_common = index.common[term]
-    base = np.bincount(passage[is_common], index.most[term[is_common]], n)
-    p, t = passage[~is_common], term[~is_common]
+    row = index.common[term]
+    present = np.zeros((n, len(index.dense)), np.float32)
+    present[passage[row >= 0], row[row >= 0]] = 1
+    base = present @ index.dense
+    p, t = passage[row < 0], term[row < 0]
     size = index.block_at[t + 1] - index.block_at[t]
-    at = np.repeat(index.block_at[t] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum()) if t.size else np.zeros(0, np.int64)
+    at = np.repeat(index.block_at[t] - (np.cumsum(size) - size), size) + np.arange(size.sum())
     key, of = np.unique(np.repeat(p, size) * index.n_blocks + index.block_of[at], return_inverse=True)
-    bound = np.bincount(of, index.block_most[at], key.size) + base[key // index.n_blocks]
-    key = key[bound >= least - 1e-9]
-    if (full := np.flatnonzero(base >= least - 1e-9)).size:
-        key = np.unique(np.concatenate((key, (full[:, None] * index.n_blocks + np.arange(index.n_blocks)).reshape(-1))))
+    bound = np.bincount(of, index.block_most[at], key.size) + base.reshape(-1)[key]
+    key = key[bound >= least - 1e-5]
+    alone = np.flatnonzero(base.reshape(-1) >= least - 1e-5)  # blocks that common terms alone lift to the threshold
+    key = np.unique(np.concatenate((key, alone))) if alone.size else key
     return key // index.n_blocks, key % index.n_blocks
 
 
