@@ -81,8 +81,8 @@ def train(texts: dict[str, list[bytes]], order: int = PAD, table_bytes: int = 12
         order -= 1
     counts = []
     for lang in langs:
-        joined = b"".join(b" " * order + t for t in bodies[lang])
-        counts.append(np.unique(codes(np.frombuffer(joined.translate(bytes(classes)), np.uint8), order, size), return_counts=True))
+        grams = [codes(np.frombuffer((b" " * order + t).translate(bytes(classes)), np.uint8), order, size) for t in bodies[lang]]
+        counts.append(np.unique(np.concatenate(grams), return_counts=True))
     return Model(langs, bytes(classes), counts, order)
 
 
