@@ -196,7 +196,7 @@ one AS (SELECT qid, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION B
 SELECT doc_id, CASE WHEN ap > 0 THEN CASE WHEN f > 1 THEN '...' ELSE '' END || substring(text, f, l - f + 1) || CASE WHEN l < length(text) THEN '...' ELSE '' END ELSE substring(text, 1, 200) END AS snippet FROM r""",
     "snippet_highlight": """WITH p AS (SELECT doc_id, text, instr(lower(text), 'worthless') AS ap FROM documents), r AS (SELECT *, substring(text, ap, 180) AS f FROM p)
 SELECT doc_id, replace(CASE WHEN ap > 0 THEN '<em>' || substring(f, 1, 9) || '</em>' || substring(f, 10, 180) ELSE substring(text, 1, 180) || '…' END, '_', ' ') AS snippet FROM r""",
-    "knn_exact": f"WITH {VEC} SELECT qid, rank, doc_id, cosine, round((1 + cosine) / 2, 6) AS score FROM knn",
+    "knn_exact": f"WITH {VEC} SELECT qid, rank, doc_id, cosine, round((1 + cosine) / 2, 7) AS score FROM knn",
     "rrf_fusion": f"WITH {VEC}" + rrf_sql("near", "knn"),
     "hybrid_search": KEYWORD + scores_sql(BM25, {"title": 1.0}, name="tsc") + f""", tx AS ({TEXTS}),
 ov AS (SELECT qid, doc_id, {OVERLAP} AS score FROM (SELECT DISTINCT qid, doc_id FROM tsc) JOIN (SELECT doc_id, {SPLIT.format(TITLE)} AS b FROM documents) USING (doc_id) JOIN (SELECT qid, {SPLIT.format('qtext')} AS a FROM tx) USING (qid)),
