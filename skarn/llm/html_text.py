@@ -48,20 +48,22 @@ MARKS = frozenset(
     " breadcrumbs header masthead footer cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup"
     " login social share sharing related recommended comment comments commentlist disqus discussion replies respond widget pagination pager toolbar".split()
 )
+#: Without those that inside an article can be the article's own.
+MARKS_INSIDE = MARKS - frozenset("header masthead banner side".split())
 MAIN = frozenset(("article", "main"))
 WORDS = re.compile(r"[a-z]+")
 
 
-def _left_out(tag: str, attrs: str) -> bool:
+def _left_out(tag: str, attrs: str, inside: bool) -> bool:
     if tag in LEFT_OUT:
-        return True
+        return not (inside and tag == "header")  # an article's own header has its title
     if "=" not in attrs:
         return bool(re.search(r"\bhidden\b", attrs))
     for m in ATTRIBUTE.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
             return True
-        if name in ("class", "id") and tag not in ("body", "html", *MAIN) and not MARKS.isdisjoint(WORDS.findall(value)):
+        if name in ("class", "id") and tag not in ("body", "html", *MAIN) and not (MARKS_INSIDE if inside else MARKS).isdisjoint(WORDS.findall(value)):
             return True
     return False
 
@@ -113,9 +115,7 @@ def blocks(page: str) -> list[tuple[str, bool]]:
             if tag in MAIN:  # an article isn't inside what was never closed
                 while skipped and stack:
                     pop()
-            gone = not skipped and _left_out(tag, m[4])
-            if gone and tag == "header" and inside:
-                gone = False  # an article's own header has its title
+            gone = not skipped and _left_out(tag, m[4], inside > 0)
             stack.append((tag, gone))
             skipped, inside, linked = skipped + gone, inside + (tag in MAIN), linked + (tag == "a")
     say(page[at:])
