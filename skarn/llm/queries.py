@@ -23,7 +23,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(fold(3) != 1).select("doc_id", "toxic")
-    model = toxicity.fit(docs.where(fold(3) != 1).select("doc_id", "text").join(labels, "doc_id"))
+    model = toxicity.fit(docs.where(fold(3) != 1), labels)
     return toxicity.score(docs, model, extra={"held_out": fold(3) == 1})
 
 

@@ -7,7 +7,7 @@ characters that are no letters, so what is put in between or left out only lower
 landmarks' own kernel matrix. The machine is linear in these; a text scores as its most toxic unit, on a
 logistic scale fitted to the labelled texts.
 
-Training: at most ``sample_rows`` labelled texts of each label (those with the smallest text hashes), each of at most
+Training: at most ``sample_rows`` labelled texts of each label (those with the smallest hashes of their ids), each of at most
 ``sample_bytes`` bytes. In sentences of toxic texts the units that hold a landmark are positive, also with
 characters put in; all units of the other texts are negative. Every text is scored whole.
 
@@ -32,11 +32,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skarn.functions.runtime import map_arrow
-from skarn.llm.langid import training_texts
 
 ORDER = 4
 #: Weight of a character between: of the landmark or a letter or digit of the unit, and any other character of the unit.
@@ -266,11 +265,16 @@ def best_units(model: Model, found: list[set[str]]) -> np.ndarray:
     return np.array([max((value[u] for u in f), default=model.bias) for f in found])
 
 
-def fit(labelled: DataFrame, sample_rows: int = 1200, sample_bytes: int = 1 << 18, label_col: str = "toxic", text_col: str = "text") -> Model | None:
-    given = labelled.where(F.col(label_col).isin(0, 1)).select(F.col(label_col).cast("string").alias("label"), text_col)
-    texts = training_texts(given, sample_rows, sample_bytes, "label", text_col)
-    decode = lambda k: [t.decode() for t in texts.get(k, [])]
-    return train(decode("1"), decode("0"))
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 1200, sample_bytes: int = 1 << 18, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+    """A model of docs with labels. The rows are drawn among the labels, so that of the texts only those drawn are moved: the
+    2 * sample_rows ids at most are broadcast to the scan of docs."""
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).distinct()
+    by_hash = Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id")
+    drawn = known.withColumn("_nth", F.row_number().over(by_hash)).where(F.col("_nth") <= sample_rows)
+    usable = docs.where(F.col(text_col).isNotNull() & (F.octet_length(text_col) <= sample_bytes)).select(id_col, text_col)
+    rows = usable.join(F.broadcast(drawn), F.col(id_col) == F.col("_id")).select("_label", "_nth", F.lower(text_col)).collect()
+    of = {k: [r[2] for r in sorted(rows, key=lambda r: (r[1], r[2])) if r[0] == k] for k in (0, 1)}
+    return train(of[1], of[0])
 
 
 SLICE = 1000

@@ -261,7 +261,7 @@ def test_toxicity_held_out(spark):
             w.insert(r.randrange(len(w)), r.choice(["grobian", "trottel", "halunke"]) + r.choice(["", ",", "."]))
         rows.append((i, " ".join(w), int(bad)))
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    model = toxicity.fit(df.where("doc_id % 4 <> 1"))
+    model = toxicity.fit(df.drop("toxic"), df.where("doc_id % 4 <> 1").select("doc_id", "toxic"))
     got = {x.doc_id: x for x in toxicity.score(df, model).collect()}
     held = [x for x in rows if x[0] % 4 == 1]
     assert all(got[d].predicted == y for d, _, y in held)
@@ -269,7 +269,7 @@ def test_toxicity_held_out(spark):
     assert {x.doc_id: x.predicted for x in toxicity.score(gapped, model).collect()} == {1: 1, 2: 1, 3: 1, 4: 0, 5: 0, 6: 0}
     assert toxicity.score(docs_of(spark, ODD), model).count() == len(ODD)
     assert toxicity.score(docs_of(spark, []), model).count() == 0
-    assert toxicity.fit(df.where("toxic = 0")) is None
+    assert toxicity.fit(df.drop("toxic"), df.where("toxic = 0").select("doc_id", "toxic")) is None
 
 
 # --- WARC
