@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from skarn.llm import chat, decontaminate, html_text, langid, language_model, packing, permutation_index, simhash, toxicity, warc
+from skarn.llm import chat, decontaminate, html_text, langid, language_model, near_copies, packing, permutation_index, simhash, toxicity, warc
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
 ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (4, "one"), (None, "null id"), (5, "%%% ### 123"), (6, "x" * 5000), (7, "word " * 30000)]
@@ -470,3 +470,67 @@ def test_pipeline_stages(spark):
         docs = spark.createDataFrame(pa.Table.from_pandas(pdf, preserve_index=False).to_pandas(), docs.schema)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, d).toPandas()
     assert set(packed.doc_id) == set(pdf.doc_id)
+
+
+def slow_jaccard(a, b):
+    cut = lambda t: {tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(max(1, len(w) - 4))}
+    return len(cut(a) & cut(b)) / len(cut(a) | cut(b))
+
+
+def planted(seed=6, groups=25):
+    """Texts of 100 to 300 words and copies of them with a few words replaced, on both sides of the threshold."""
+    r, out = random.Random(seed), []
+    word = lambda: r.choice(WORDS) + r.choice(WORDS) + r.choice(WORDS)
+    for _ in range(groups):
+        base = [word() for _ in range(r.randint(100, 300))]
+        out.append(base)
+        for _ in range(4):
+            w = list(base)
+            for i in r.sample(range(len(w)), r.randint(1, max(1, len(w) // 30))):
+                w[i] = word()
+            out.append(w)
+    return [" ".join(w) for w in out]
+
+
+def slow_groups(every):
+    parent = list(range(len(every)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(every)):
+        for j in range(i):
+            if slow_jaccard(every[i], every[j]) >= 0.8:
+                parent[find(i)] = find(j)
+    low = {}
+    return [low.setdefault(find(i), i) for i in range(len(every))]
+
+
+def test_pipeline_near_duplicates_match_brute_force(spark):
+    import corpus_pipeline
+
+    every = planted()
+    every += [every[0].upper(), "one two", "one two", "one two three"]
+    want = slow_groups(every)
+    assert 25 < len(set(want)) < len(every) - 25
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs_of(spark, list(enumerate(every))), None)
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(set(want))
+    odd = [r for r in ODD if r[0] is not None]
+    assert corpus_pipeline.near_duplicate_stage(spark, docs_of(spark, odd), None).count() == len({(t or "").strip() for _, t in odd})
+    assert corpus_pipeline.near_duplicate_stage(spark, docs_of(spark, []), None).count() == 0
+
+
+def test_near_copies_of_one_large_group_meet_in_cells(spark):
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    every = []
+    for k in range(150):  # neighbours are similar, the ends are not
+        w = list(base)
+        for i in range(k, k + 4):
+            w[i % 120] = f"x{i}" if k % 3 else f"y{r.random()}"
+        every.append(" ".join(w))
+    every += planted(9, 3)
+    got = {x.doc_id: x.component for x in near_copies.near_copy_groups(docs_of(spark, list(enumerate(every))), chunk=8).collect()}
+    assert [got[i] for i in range(len(every))] == slow_groups(every)
