@@ -4,12 +4,13 @@ Each language has a variable-order byte context tree with counts from its traini
 give the code length of a byte after its context: -log2(n / (N + q)) where the context knows the byte
 (n of its N bytes, q distinct), else the escape -log2(q / (N + q)) and the same question in the next
 shorter context, down to eight bits for a byte without context. A text goes to the language with the
-shortest code. For speed the trees are compiled, once for each Python worker, into a table over (context, byte)
-that holds just these code lengths.
+shortest code. For speed the trees are compiled, once for each Python worker, into sorted tables of the contexts and
+grams seen, of each length; a batch looks up only its distinct grams. The tables grow with what was seen and not with the
+number of byte values, so the order is the same for every alphabet and number of languages.
 
 Texts are lower-cased; ASCII bytes that aren't letters separate words, and runs of separators count as one.
 
-Training: at most ``sample_rows`` texts of each language (those with the smallest text hashes), each of at most
+Training: at most ``sample_rows`` distinct texts of each language (those with the smallest text hashes), each of at most
 ``sample_bytes`` bytes; texts are otherwise used whole, and every text is scored whole.
 
 Defined results: null texts and texts without a letter get ``und`` with score 0; ties go to the language
@@ -32,7 +33,7 @@ from skarn.functions.runtime import map_arrow
 
 PAD = 3
 LETTERS = bytes(range(97, 123))
-_COMPILED: dict[str, list[np.ndarray]] = {}
+_COMPILED: dict[str, list[list[tuple[np.ndarray, ...]]]] = {}
 CHUNK = 1 << 20
 
 
@@ -60,15 +61,14 @@ def body(text: bytes) -> bytes:
 def codes(classes: np.ndarray, order: int, size: int) -> np.ndarray:
     """The code of each byte with the ``order`` bytes before it."""
     n = classes.size - order
-    out = np.zeros(max(n, 0), np.int32)
+    out = np.zeros(max(n, 0), np.int64)
     for k in range(order + 1):
         out *= size
         out += classes[k : k + n]
     return out
 
 
-def train(texts: dict[str, list[bytes]], order: int = PAD, table_bytes: int = 128 << 20) -> Model:
-    """The order is lowered where the compiled tables would be larger than table_bytes."""
+def train(texts: dict[str, list[bytes]], order: int = PAD) -> Model:
     langs = sorted(texts)
     bodies = {lang: [body(t) for t in texts[lang]] for lang in langs}
     seen = sorted({b for lang in langs for t in bodies[lang] for b in t} - {32})
@@ -77,38 +77,54 @@ def train(texts: dict[str, list[bytes]], order: int = PAD, table_bytes: int = 12
     for k, b in enumerate(seen):
         classes[b] = k + 1
     size = len(seen) + 2
-    while order > 1 and size ** (order + 1) * 4 * len(langs) > table_bytes:
-        order -= 1
     counts = []
     for lang in langs:
-        grams = [codes(np.frombuffer((b" " * order + t).translate(bytes(classes)), np.uint8), order, size) for t in bodies[lang]]
-        counts.append(np.unique(np.concatenate(grams), return_counts=True))
+        each = [np.unique(codes(np.frombuffer((b" " * order + t).translate(bytes(classes)), np.uint8), order, size), return_counts=True) for t in bodies[lang]]
+        grams, at = np.unique(np.concatenate([g for g, _ in each]), return_inverse=True)
+        counts.append((grams, np.bincount(at, np.concatenate([n for _, n in each])).astype(np.int64)))
     return Model(langs, bytes(classes), counts, order)
 
 
-def compile_tables(m: Model) -> list[np.ndarray]:
-    """Of each language the code length in bits of every (context, byte)."""
+def compile_tables(m: Model) -> list[list[tuple[np.ndarray, ...]]]:
+    """Of each language and context length: the grams seen, their bits, the contexts seen, the bits of their escapes."""
     if m.key not in _COMPILED:
         _COMPILED.clear()
         out = []
         for code, n in m.counts:
-            cost = np.full(1, 8.0, np.float32)
+            levels = []
             for k in range(m.order + 1):
                 grams, at = np.unique(code % m.size ** (k + 1), return_inverse=True)
                 times = np.bincount(at, n).astype(np.float64)
                 contexts, of = np.unique(grams // m.size, return_inverse=True)
                 total, distinct = np.bincount(of, times), np.bincount(of)
-                # bytes unknown in the context cost the escape besides what the next shorter context asks
-                below = cost if k else np.full(m.size, 8.0, np.float32)
-                cost = np.tile(below.reshape(-1, m.size), (m.size if k else 1, 1))
-                cost[contexts] += (-np.log2(distinct / (total + distinct)))[:, None].astype(np.float32)
-                cost = cost.reshape(-1)
-                cost[grams] = -np.log2(times / (total + distinct)[of])
-            out.append(cost)
+                levels.append((grams, -np.log2(times / (total + distinct)[of]), contexts, -np.log2(distinct / (total + distinct))))
+            out.append(levels)
         _COMPILED[m.key] = out
     return _COMPILED[m.key]
 
 
+def _find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of x in a sorted table, and which of them are there."""
+    at = np.minimum(np.searchsorted(table, x), table.size - 1)
+    return at, table[at] == x
+
+
+def gram_bits(levels: list[tuple[np.ndarray, ...]], code: np.ndarray, size: int) -> np.ndarray:
+    """Bits of the last byte of each gram after the bytes before it, in one language."""
+    bits, left = np.zeros(code.size), np.arange(code.size)
+    for k in range(len(levels) - 1, -1, -1):
+        grams, cost, contexts, escape = levels[k]
+        g = code[left] % size ** (k + 1)
+        at, hit = _find(grams, g)
+        bits[left[hit]] += cost[at[hit]]
+        left, g = left[~hit], g[~hit]
+        at, known = _find(contexts, g // size)
+        # bytes unknown in the context cost the escape besides what the next shorter context asks
+        bits[left[known]] += escape[at[known]]
+    bits[left] += 8
+    return bits
+
+
 def code_lengths(m: Model, texts: list[bytes]) -> np.ndarray:
     """Bits of each whole text (row) in each language (column)."""
     tables, out = compile_tables(m), np.zeros((len(texts), len(m.langs)))
@@ -121,8 +137,9 @@ def code_lengths(m: Model, texts: list[bytes]) -> np.ndarray:
             code = codes(np.frombuffer(b"".join(parts), np.uint8), m.order, m.size)
             # of each part from its first byte after the context; the next part's context is skipped
             edges = np.stack((np.concatenate(([0], ends[:-1])), ends - m.order), 1).reshape(-1)[:-1]
-            for k, t in enumerate(tables):
-                np.add.at(out[:, k], owner, np.add.reduceat(t[code].astype(np.float64), edges)[::2])
+            distinct, place = np.unique(code, return_inverse=True)
+            for k, levels in enumerate(tables):
+                np.add.at(out[:, k], owner, np.add.reduceat(gram_bits(levels, distinct, m.size)[place], edges)[::2])
         parts, owner, held = [], [], 0
 
     for i, text in enumerate(texts):
@@ -144,14 +161,15 @@ def posterior(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def training_texts(labelled: DataFrame, sample_rows: int, sample_bytes: int, lang_col: str = "lang", text_col: str = "text") -> dict[str, list[bytes]]:
-    """At most sample_rows texts of each language, by hash: a bounded sample, the same at every partitioning."""
+    """At most sample_rows distinct texts of each language, by hash: a bounded sample, the same at every partitioning and number of copies."""
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= sample_bytes))
-    share = F.pmod(F.xxhash64(text_col), F.lit(1 << 30)) / float(1 << 30)
-    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
+    known = known.select(lang_col, text_col, F.xxhash64(text_col).alias("hash"))
+    share = F.pmod("hash", F.lit(1 << 30)) / float(1 << 30)
+    sizes = {r[0]: r[1] for r in known.select(lang_col, "hash").distinct().groupBy(lang_col).count().collect()}
     if not sizes:
         return {}
     take = F.coalesce(*(F.when(F.col(lang_col) == k, F.lit(min(1.0, 2.0 * sample_rows / n))) for k, n in sorted(sizes.items())))
-    few = known.where(share < take).select(lang_col, text_col, F.xxhash64(text_col).alias("hash"))
+    few = known.where(share < take).distinct()
     few = few.withColumn("nth", F.row_number().over(Window.partitionBy(lang_col).orderBy("hash", text_col))).where(F.col("nth") <= sample_rows)
     out: dict[str, list[bytes]] = {}
     for lang, text in few.select(lang_col, F.lower(text_col)).toLocalIterator():

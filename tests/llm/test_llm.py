@@ -209,6 +209,31 @@ def test_long_text_in_chunks(monkeypatch):
     assert np.allclose(whole, langid.code_lengths(m, [b"the cat and la lune " * 50, b"cat"]))
 
 
+def test_order_stays_for_large_alphabets_and_many_languages():
+    r = random.Random(4)
+    made = lambda first, n: [" ".join("".join(chr(first + r.randrange(60)) for _ in range(5)) for _ in range(20)).encode() for _ in range(n)]
+    train = {f"l{i}": made(first, 3) for i, first in enumerate((0x61, 0x400, 0x4E00, 0x3040, 0x5D0, 0xE00, 0x10A0, 0x900))}
+    m = langid.train(train)
+    assert m.order == langid.PAD and m.size >= 100
+    for lang, own in train.items():
+        got = langid.code_lengths(m, [own[0][:60]])[0]
+        assert m.langs[got.argmin()] == lang
+        for k, other in enumerate(m.langs):
+            assert got[k] == pytest.approx(slow_bits(own[0][:60], [langid.body(t) for t in train[other]], 3), abs=1e-3)
+
+
+def test_copies_leave_every_language_its_training_texts(spark):
+    from pyspark.sql import Window
+
+    own = texts(12, 21)
+    df = spark.createDataFrame([(i, t, "xx") for i, t in enumerate(own)], "doc_id long, text string, lang string")
+    # the texts with the largest hashes, a thousand copies each
+    df = df.withColumn("nth", F.row_number().over(Window.orderBy(F.desc(F.pmod(F.xxhash64("text"), F.lit(1 << 30)))))).where("nth <= 3")
+    df = df.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(1000)))).drop("nth", "k")
+    got = langid.training_texts(df, 4, 1 << 18)
+    assert len(got["xx"]) == len(set(got["xx"])) == 3
+
+
 def test_language_held_out_and_odd(spark):
     en, de = [f"the {t} and of with" for t in texts(40, 1)], [f"der {t} und die das für" for t in texts(40, 2)]
     rows = [(i, t, "en") for i, t in enumerate(en)] + [(100 + i, t, "de") for i, t in enumerate(de)]
