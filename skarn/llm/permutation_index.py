@@ -1,17 +1,19 @@
 """Approximate nearest neighbours (largest cosine) with a permutation index.
 
 Pivots are drawn from the vectors (the smallest hashes: a sample of ``pivots`` vectors, whatever the table's size).
-A vector is represented by its nearest pivots in order, and posted in the inverted file of each of the first ``posted``.
-A query visits the files of its ``probed`` nearest pivots; there the candidates are ranked by Spearman's
-footrule between the two pivot orders, the nearer ``keep`` share is reranked by exact cosine in double
-precision, and the best of all files are merged. Every vector is posted. Equal vectors are posted once, with
-the smallest ids that any answer can need. An inverted file that is larger than ``file_rows``, and a file's
-queries beyond ``query_rows``, are dealt out over shards by hash, so that no task holds more.
+A vector is represented by its ``posted`` nearest pivots in order, and posted with its place in the order in the inverted file of
+each. A query reads the files of its own ``posted`` nearest pivots and adds up, for every vector met, what Spearman's footrule
+between the two orders falls by for each pivot they share. The ``share`` of vectors with the smallest footrule (at least ``least``, and
+all that tie with the last) is reranked by exact cosine in double precision, once for each vector.
+
+The index is cut by vector: a shard holds the inverted files of about ``shard_rows`` vectors, and queries come in blocks
+of about ``query_rows``, so no task holds more, however large one file is. Every vector is posted; the best of
+all shards are merged. Equal vectors are posted once, with the smallest ids that any answer can need.
 
 Defined results: null, empty and zero vectors and those with null or non-finite components take no part;
 vectors of different lengths are indexed apart; of rows with one id the smallest vector counts; rows with a null id
-take no part; a query's own id is never among its results; ties go to the smaller id; fewer candidates than k
-are all returned; an empty table gives an empty result; other columns are not read.
+take no part; a query's own id is never among its results; scores that agree to 12 digits are ties and go to the smaller id; fewer
+candidates than k are all returned; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skarn.functions.runtime import cut, map_arrow, ship
+from skarn.functions.runtime import cut, ship
 
 RESULT = "query_id long, vec_id long, score double"
+#: Scores that agree to so many digits are ties; rough scores are off by less than the margin.
+DIGITS, MARGIN = 12, 1e-11
 
 
 def valid(vector: str) -> Column:
@@ -45,15 +49,28 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, n: int) -> np.ndarray:
-    return np.argsort(-(_unit(x) @ _unit(pivots).T), axis=1, kind="stable")[:, :n].astype(np.int32)
+    """Rounded, so that vectors of one direction have one order."""
+    return np.argsort(-np.round(_unit(x) @ _unit(pivots).T, 9), axis=1, kind="stable")[:, :n].astype(np.int32)
+
+
+class Files:
+    """The inverted files of a shard: of each pivot, the vectors that have it in their order, and at what place."""
 
+    def __init__(self, order: np.ndarray, n_pivots: int):
+        self.size, self.depth = order.shape
+        by_pivot = np.argsort(order.reshape(-1), kind="stable")
+        self.rows, self.places = (by_pivot // self.depth).astype(np.int32), (by_pivot % self.depth).astype(np.int32)
+        self.ends = np.searchsorted(order.reshape(-1)[by_pivot], np.arange(n_pivots + 1))
+        self.met = self.depth - np.arange(self.depth, dtype=np.int32)
 
-def footrule(order: np.ndarray, query_order: np.ndarray, n_pivots: int, absent: int) -> np.ndarray:
-    """Spearman's footrule between one query's pivot order and each row; a pivot not in an order is at ``absent``."""
-    place = np.full(n_pivots, absent, np.int32)
-    place[query_order] = np.arange(len(query_order))
-    q = place[order]
-    return (np.abs(np.arange(order.shape[1], dtype=np.int32) - q) - (absent - q)).sum(1) + int((absent - place).sum())
+    def nearness(self, query_order: np.ndarray) -> np.ndarray:
+        """How far each vector's footrule to the query is below that of orders without a common pivot (an absent pivot is at ``depth``)."""
+        out, place = np.zeros(self.size, np.int32), np.arange(self.depth, dtype=np.int32)
+        for at, pivot in enumerate(query_order.tolist()):
+            own = slice(self.ends[pivot], self.ends[pivot + 1])
+            fall = self.met + (self.depth - at) - np.abs(place - at)
+            out[self.rows[own]] += fall[self.places[own]]  # a vector stands once in a file
+        return out
 
 
 def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -61,28 +78,42 @@ def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(-1) / (np.sqrt((a * a).sum(-1)) * np.sqrt((b * b).sum(-1)))
 
 
-def search_file(vectors: pa.Table, queries: pa.Table, k: int, n_pivots: int, absent: int, keep: float, least: int) -> pa.Table:
-    """The k best of one shard of an inverted file for each of its queries."""
-    x, order, ids = _matrix(vectors["v"]), _matrix(vectors["order"]), vectors["ids"].to_pylist()
-    q, q_order, q_ids = _matrix(queries["v"]), _matrix(queries["order"]), queries["query_id"].to_pylist()
-    unit, n, out = _unit(x), len(ids), ([], [], [])
-    m = min(n, max(least, int(np.ceil(keep * n))))
-    for i in range(len(q_ids)):
-        far = footrule(order, q_order[i], n_pivots, absent)
-        near = np.argpartition(far, m - 1)[:m] if m < n else np.arange(n)
-        rough = unit[near] @ _unit(q[i : i + 1])[0]
-        top = near[np.argpartition(-rough, k + 26)[: k + 27]] if near.size > k + 27 else near
-        scores = exact_cosine(x[top], q[i])
-        found = sorted((-s, v) for s, t in zip(scores.tolist(), top.tolist()) for v in ids[t] if v != q_ids[i])[:k]
-        out[0].extend([q_ids[i]] * len(found))
-        out[1].extend(v for _, v in found)
-        out[2].extend(-s for s, _ in found)
+def search_shard(vectors: pa.Table, queries: pa.Table, pivots: np.ndarray, k: int, depth: int, share: float, least: int) -> pa.Table:
+    """The k best of one shard for each of a block of queries."""
+    out = ([], [], [])
+    if not vectors.num_rows or not queries.num_rows:
+        return _result(out)
+    x, q = _matrix(vectors["v"]), _matrix(queries["q"])
+    ids = vectors["ids"].combine_chunks()
+    ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+    flat, edge = ids.values.to_numpy(), ids.offsets.to_numpy()
+    first, unit, n = flat[edge[:-1]], _unit(x), len(x)
+    files = Files(nearest_pivots(x, pivots, depth), len(pivots))
+    m = min(n, max(least, int(np.ceil(share * n))))
+    for q_id, own, asked, order in zip(queries["query_id"].to_pylist(), q, _unit(q), nearest_pivots(q, pivots, depth)):
+        near = np.arange(n)
+        if m < n:
+            met = files.nearness(order)
+            near = np.flatnonzero(met >= np.partition(met, n - m)[n - m])
+        rough = unit[near] @ asked
+        if near.size > k + 1:  # one more, as the query's own row may be among them; whatever may tie stays
+            near = near[rough >= np.partition(rough, near.size - k - 1)[near.size - k - 1] - MARGIN]
+        scores = exact_cosine(x[near], own)
+        best = np.lexsort((first[near], -np.round(scores, DIGITS)))[: k + 1]
+        found = sorted((-round(s, DIGITS), v, s) for s, t in zip(scores[best].tolist(), near[best].tolist()) for v in flat[edge[t] : edge[t + 1]].tolist() if v != q_id)[:k]
+        out[0].extend([q_id] * len(found))
+        out[1].extend(v for _, v, _ in found)
+        out[2].extend(s for _, _, s in found)
+    return _result(out)
+
+
+def _result(out: tuple[list, list, list]) -> pa.Table:
     return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
 
 def search(
-    vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 128, posted: int = 8, probed: int = 20, keep: float = 0.9,
-    least: int = 256, file_rows: int = 20_000, query_rows: int = 5_000, id_col: str = "vec_id", vector_col: str = "embedding",
+    vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 256, posted: int = 64, share: float = 0.1, least: int = 256,
+    shard_rows: int = 8192, query_rows: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows that is_query marks, against all rows."""
     spark = vectors.sparkSession
@@ -90,46 +121,41 @@ def search(
     given = vectors.where(F.col(id_col).isNotNull() & valid(vector_col)).withColumn("_query", F.coalesce(is_query, F.lit(False)))
     given = given.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(vector_col).alias("v"), F.max("_query").alias("is_query"))
     given = cut(given.withColumn("dims", F.size("v")))
-    found = [_search_equal_length(given.where(F.col("dims") == d), k, pivots, posted, probed, keep, least, file_rows, query_rows) for d in sorted(r[0] for r in given.select("dims").distinct().collect())]
+    found = [_search_equal_length(given.where(F.col("dims") == d), k, pivots, posted, share, least, shard_rows, query_rows) for d in sorted(r[0] for r in given.select("dims").distinct().collect())]
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     hits = found[0]
     for more in found[1:]:
         hits = hits.union(more)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", DIGITS)), "vec_id")
+    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def draw_pivots(distinct: DataFrame, most: int) -> np.ndarray:
+    """The vectors (column v) with the smallest hashes, one of each direction. A hash bound near the wanted share comes first, so
+    that tasks send few rows."""
+    hashed, n = distinct.select("v", F.pmod(F.xxhash64("v"), F.lit(1 << 40)).alias("h")), distinct.count()
+    bound = min(1.0, 4.0 * most / max(1, n)) * (1 << 40)
+    few = hashed.where(F.col("h") <= int(bound)).orderBy("h", "v").limit(2 * most).collect()
+    x = _matrix(pa.array([r[0] for r in few]))
+    first = np.unique(np.round(_unit(x), 9), axis=0, return_index=True)[1]
+    return x[np.sort(first)[:most]]
 
 
-def _search_equal_length(given: DataFrame, k: int, pivots: int, posted: int, probed: int, keep: float, least: int, file_rows: int, query_rows: int) -> DataFrame:
+def _search_equal_length(given: DataFrame, k: int, pivots: int, posted: int, share: float, least: int, shard_rows: int, query_rows: int) -> DataFrame:
     same = Window.partitionBy("v").orderBy("id")
     few = given.select("id", "v").withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1)
-    distinct = few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    p = _matrix(pa.array([r[0] for r in distinct.select("v").orderBy(F.xxhash64("v"), "v").limit(pivots).collect()]))
-    n, posted, probed = len(p), min(posted, len(p)), min(probed, len(p))
-
-    def ordered(df: DataFrame, depth: int) -> DataFrame:
-        def run(batches):
-            for b in batches:
-                if b.num_rows:
-                    order = nearest_pivots(_matrix(b.column("v")), p, depth)
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, order.size + 1, depth, dtype=np.int32)), pa.array(order.reshape(-1)))
-                    yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, "order"])
-
-        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
-        return map_arrow(df, run, f"{schema}, order array<int>")
-
-    posts = cut(ordered(distinct, posted).select(F.explode("order").alias("pivot"), "ids", "v", "order"))
-    asked = cut(ordered(given.where("is_query").select(F.col("id").alias("query_id"), "v"), probed).select(F.explode("order").alias("pivot"), "query_id", "v", "order"))
-    sizes, visits = ({r[0]: r[1] for r in df.groupBy("pivot").count().collect()} for df in (posts, asked))
-    # of each pivot, a bounded number of them: shards of its file, blocks of its queries
-    plan = F.create_map(*(x for i in range(n) for x in (F.lit(i), F.struct(F.lit(max(1, -(-sizes.get(i, 0) // file_rows))).alias("shards"), F.lit(max(1, -(-visits.get(i, 0) // query_rows))).alias("blocks")))))
-    here = plan[F.col("pivot")]
+    distinct = cut(few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")))
+    p = draw_pivots(distinct, pivots)
+    depth = min(posted, len(p))
+    asked = given.where("is_query").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    shards, blocks = (F.lit(max(1, -(-df.count() // size))) for df, size in ((distinct, shard_rows), (asked, query_rows)))
     every = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
-    left = posts.select("pivot", F.pmod(F.xxhash64("v"), here["shards"]).cast("int").alias("shard"), every(here["blocks"]).alias("block"), "ids", "v", "order")
-    right = asked.select("pivot", every(here["shards"]).alias("shard"), F.pmod(F.xxhash64("query_id"), here["blocks"]).cast("int").alias("block"), "query_id", "v", "order")
+    left = distinct.select(F.pmod(F.xxhash64("v"), shards).cast("int").alias("shard"), every(blocks).alias("block"), "ids", "v")
+    right = asked.select(every(shards).alias("shard"), F.pmod(F.xxhash64("query_id"), blocks).cast("int").alias("block"), "query_id", "q")
 
     def one(a: pa.Table, b: pa.Table) -> pa.Table:
-        return search_file(a, b, k, n, max(posted, probed), keep, least)
+        return search_shard(a, b, p, k, depth, share, least)
 
-    key = ["pivot", "shard", "block"]
+    key = ["shard", "block"]
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(one, RESULT)

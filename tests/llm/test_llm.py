@@ -455,14 +455,40 @@ def test_permutation_index_recall_and_odd(spark):
     assert permutation_index.search(df.limit(0), F.lit(True)).count() == 0
 
 
-def test_footrule():
-    order = np.array([[0, 1, 2], [2, 1, 0], [5, 6, 7]], np.int32)
-    got = permutation_index.footrule(order, np.array([0, 1, 2]), 8, 3)
+def test_nearness_is_the_fall_of_the_footrule():
+    order = np.array([[0, 1, 2], [2, 1, 0], [5, 6, 7], [7, 0, 3]], np.int32)
+    got = permutation_index.Files(order, 8).nearness(np.array([0, 1, 2], np.int32))
 
     def slow(a, b):
         return sum(abs((list(a).index(p) if p in a else 3) - (list(b).index(p) if p in b else 3)) for p in {*a, *b})
 
-    assert got.tolist() == [slow(o.tolist(), [0, 1, 2]) for o in order]
+    apart = slow([0, 1, 2], [5, 6, 7])
+    assert got.tolist() == [apart - slow(o.tolist(), [0, 1, 2]) for o in order]
+
+
+def test_permutation_index_recall_at_the_defaults(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = permutation_index.search(df, F.col("vec_id") % 50 == 0).toPandas()
+    table = df.toPandas()
+    x = np.array(table.embedding.tolist(), dtype=float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, hits, n = table.vec_id.to_numpy(), 0, 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        s = x @ x[q]
+        s[q] = -2
+        want = set(ids[np.lexsort((ids, -np.round(s, 12)))[:5]])
+        hits, n = hits + len(want & set(got[got.query_id == ids[q]].vec_id)), n + 5
+    assert hits / n >= 0.9
+
+
+def test_permutation_index_ties_go_to_the_smaller_id(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=8)
+    rows = [(i, (base * (i + 1)).tolist()) for i in range(1500)] + [(i, rng.normal(size=8).tolist()) for i in range(2000, 2600)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"query_id": F.lit(9), "rank": F.lit("x"), "h": F.lit(0), "ids": F.lit(1)})
+    got = permutation_index.search(df, F.col("vec_id").isin(0, 700), shard_rows=500, query_rows=1).orderBy("query_id", "rank").toPandas()
+    assert list(got.vec_id) == [1, 2, 3, 4, 5, 0, 1, 2, 3, 4]
 
 
 # --- Chat
