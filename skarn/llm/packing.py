@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from skarn.functions.runtime import cut, map_arrow, shuffle_partitions
 
 _ENCODERS: dict = {}
+_RANKS: dict = {}
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 PLAN_SCHEMA = "length long, lo long, hi long, sequence long, per_sequence long, at long"
 
@@ -43,9 +44,16 @@ def encoder(name: str = "byte_bpe_50k"):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         core = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: SPECIAL_ID})
         _ENCODERS[name] = lambda text: core.encode_to_numpy(text, allowed_special="all")
+        _RANKS[name] = ranks
     return _ENCODERS[name]
 
 
+def token_bytes(name: str = "byte_bpe_50k") -> dict[bytes, int]:
+    """The vocabulary's ids by their bytes."""
+    encoder(name)
+    return _RANKS[name]
+
+
 def cut_points(total: int, capacity: int) -> list[int]:
     """Starts of a document's pieces: the first may be shorter than the capacity."""
     first = total % capacity or capacity

@@ -394,7 +394,7 @@ def test_counts_and_base_score(spark):
     rows = [(i, t) for i, t in enumerate(texts(60, 11, 30))] + [(900, None), (901, "ÀB cd"), (901, "ÀB cd")]
     training = F.col("doc_id") % 10 != 0
     for hot in (5, 100_000):
-        got = language_model.score(docs_of(spark, rows), F.coalesce(training, F.lit(False)), hot_words=hot, sample_rows=20).collect()
+        got = language_model.score(docs_of(spark, rows), F.coalesce(training, F.lit(False)), hot_words=hot).collect()
         words = lambda t: [*(t or "").encode().lower().split(), b""]
         c = Counter(w for d, t in rows if d % 10 for w in words(t))
         n, v = sum(c.values()), len(c)
@@ -408,11 +408,32 @@ def test_counts_and_base_score(spark):
     assert language_model.score(docs_of(spark, []), F.lit(True)).count() == 0
 
 
+def small_model(seed=5):
+    said = [t.encode() for t in texts(40, seed)]
+    begins = language_model.begins_word()
+    ids, _ = language_model.public_ids(sorted({w for t in said for w in t.split()}))
+    frequent = np.unique(ids)[::2]  # half of them are rare
+    to = np.where(begins, 2, 3)
+    to[frequent] = 4 + np.arange(frequent.size)
+    group = language_model.group_ids(np.array([[0] * 9 + to[ids[k : k + 16]].tolist() for k in range(0, ids.size - 16, 3)]), np.concatenate(([True, True, True, False], begins[frequent])))
+    starts = np.zeros(language_model.CLASSES, bool)
+    starts[[*range(language_model.BEGIN), language_model.CLASSES - 3, language_model.CLASSES - 2]] = True
+    often = np.full(language_model.SUBWORDS, 0.1) + np.bincount(ids, minlength=language_model.SUBWORDS)
+    shares = np.log(often / np.bincount(group[to], often, language_model.CLASSES)[group[to]])
+    code, n = np.unique(ids[:-1] * language_model.SUBWORDS + ids[1:], return_counts=True)
+    n, code = n[~begins[code % language_model.SUBWORDS]], code[~begins[code % language_model.SUBWORDS]]
+    after, at = np.unique(code // language_model.SUBWORDS * language_model.CLASSES + group[to[code % language_model.SUBWORDS]], return_inverse=True)
+    v = language_model.Vocabulary(to, group, starts, shares, code, n.astype(float), after, np.bincount(at, n))
+    p = language_model.initial_weights(group.size)
+    p["e"] *= 3
+    return language_model.fold(p, v), said
+
+
 def test_windows_score_each_token_once_as_one_by_one():
-    m = language_model.train([t.encode() for t in texts(20, 5)], steps=5)
-    sizes = np.array([1, 16, 17, 70])
-    targets = np.random.default_rng(1).integers(1, len(m.ids) + 3, sizes.sum())
-    got, first = language_model.token_log_probs(m, targets, sizes), 0
+    m, _ = small_model()
+    v, sizes = m.vocabulary, np.array([1, 16, 17, 70])
+    targets = np.random.default_rng(1).integers(1, v.group.size, sizes.sum())
+    (got, new), first = language_model.token_log_probs(m, targets, sizes), 0
     for size in sizes:
         seq = [0] * (language_model.CONTEXT + 1) + targets[first : first + size].tolist()
         for i in range(size):
@@ -421,13 +442,79 @@ def test_windows_score_each_token_once_as_one_by_one():
             own = m.query[seen[-1]]
             odds = np.array([np.exp(own @ m.key[x] + m.distance[len(seen) - 1 - j]) for j, x in enumerate(seen)])
             z = (odds[:, None] * m.value[seen]).sum(0) / odds.sum()
-            logits = z @ m.out + m.direct[seen[-1]]
-            y = targets[first + i]
-            want = logits[m.group[y]] - np.log(np.exp(logits).sum()) + m.within[y]
-            assert got[first + i] == pytest.approx(want, abs=1e-3)
+            odds = np.exp(z @ m.out + m.direct[seen[-1]])
+            assert got[first + i] == pytest.approx(np.log(odds[v.group[targets[first + i]]] / odds.sum()), abs=1e-3)
+            assert new[first + i] == pytest.approx(np.log(odds[v.begins].sum() / odds.sum()), abs=1e-3)
         first += size
 
 
+def test_odds_of_all_next_ids_sum_to_one():
+    """Over the classes by softmax; here over the ids within the classes, after any id."""
+    v = small_model()[0].vocabulary
+    every, of = np.arange(language_model.SUBWORDS), v.group[v.to]
+    begins = language_model.begins_word()
+    assert (v.begins[of] == begins).all()
+    for k in np.flatnonzero(np.bincount(of[begins], minlength=language_model.CLASSES)):
+        ids = every[begins & (of == k)]
+        assert np.exp(v.within(ids, np.ones(ids.size, np.int64))).sum() == pytest.approx(1)
+    for before in (int(v.pair[0] // language_model.SUBWORDS), 3):
+        for k in np.flatnonzero(np.bincount(of[~begins], minlength=language_model.CLASSES)):
+            ids = every[~begins & (of == k)]
+            two = np.stack((np.full(ids.size, before), ids), 1).reshape(-1)
+            assert np.exp(v.within(two, np.full(ids.size, 2)) - v.shares[before]).sum() == pytest.approx(1)
+
+
+def test_mass_of_words_is_one():
+    """Words of one to three ids, drawn from a small set of ids, after a context: no more than one in all, and what is missing is the mass
+    of the longer words."""
+    m, said = small_model()
+    v, context = m.vocabulary, said[0].split()[:5]
+    whole = language_model.word_log_probs(m, [[*context, w] for w in {w for t in said for w in t.split()}])
+    assert 0 < (10 ** whole[5::6]).sum() <= 1 + 1e-6
+    # one step: a word's ids, then a beginning or a going on: the odds of both add up
+    logs, new = language_model.token_log_probs(m, np.array([1, *v.to[language_model.public_ids(context)[0]].tolist(), 1]), np.array([2 + language_model.public_ids(context)[0].size]))
+    assert (np.exp(new) <= 1 + 1e-6).all() and (logs <= 1e-6).all()
+
+
+def test_public_ids_in_one_call():
+    words = [w.encode() for w in "a été naïve ### ... don't 12ab x\u00a0 \u2028y <|endoftext|> über-alles 漢字 \u200d".split(" ")]
+    for some in (words, [w for w in words if not language_model.ODD_SPACE.search(w.decode())]):
+        ids, length = language_model.public_ids(some)
+        want = [language_model.encoder()(" " + w.decode()).tolist() for w in some]
+        assert length.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+def test_gradient_matches_differences():
+    rng = np.random.default_rng(2)
+    p = {k: x.astype(np.float64) for k, x in language_model.initial_weights(12, 3).items()}
+    x, y = rng.integers(0, 12, (3, language_model.WINDOW)), rng.integers(-1, language_model.CLASSES, (3, language_model.STRIDE))
+
+    def loss(p):
+        e = p["e"][x]
+        a = (e[:, language_model.CONTEXT :] @ p["q"] * language_model.DIMENSIONS**-0.5) @ (e @ p["k"]).transpose(0, 2, 1)
+        back = np.arange(language_model.CONTEXT, language_model.WINDOW)[:, None] - np.arange(language_model.WINDOW)[None]
+        a = np.where(back >= 0, np.exp(a + p["r"][np.maximum(back, 0)]), 0)
+        a /= a.sum(-1, keepdims=True)
+        s = a @ (e @ p["v"]) @ p["o"] + e[:, language_model.CONTEXT :] @ p["u"] + p["c"]
+        s -= np.log(np.exp(s).sum(-1, keepdims=True))
+        return -np.take_along_axis(s, np.maximum(y, 0)[..., None], -1)[..., 0][y >= 0].mean()
+
+    grad = language_model.gradient(p, x, y)
+    for k in p:
+        at = tuple(rng.integers(0, n) for n in p[k].shape) if k != "e" else (x[0, 3], 5)
+        up, down = ({n: v.copy() for n, v in p.items()} for _ in range(2))
+        up[k][at] += 1e-4
+        down[k][at] -= 1e-4
+        assert grad[k][at] == pytest.approx((loss(up) - loss(down)) / 2e-4, rel=1e-3, abs=1e-6)
+
+
+def test_attention_beats_the_counts_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(4)
+    held = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    got = language_model.score(docs, ~held, extra={"held_out": held}).where("held_out").agg(*(F.sum(c) for c in ("base_score", "score"))).first()
+    assert got[1] > got[0]
+
+
 # --- Nearest neighbours
 
 
