@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.functions.runtime import checkpoint_dir, cut, table
+from skarn.functions.runtime import checkpoint_dir, cut, spread, table
 from skarn.llm import chat, decontaminate, html_text, langid, language_model, packing, permutation_index, simhash, toxicity, warc
 
 
@@ -17,11 +17,11 @@ def fold(of: int) -> Column:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     labels = table(spark, sf_dir, "labels").where(fold(3) != 1).select("doc_id", "toxic")
     model = toxicity.fit(docs.where(fold(3) != 1), labels)
     return toxicity.score(docs, model, extra={"held_out": fold(3) == 1})
@@ -29,7 +29,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
-    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    warc.write_archives(spread(table(spark, sf_dir, "pages")), path)
     page = lambda c: F.try_to_number(F.replace(F.col(c), F.lit(warc.RECORD_ID), F.lit("")), F.lit("S9999999999999999999")).cast("long")
     back = warc.read_archives(spark, path, with_payload=False)
     back = cut(back.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to")))
@@ -42,15 +42,15 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicate_groups(spread(table(spark, sf_dir, "documents")))
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract(table(spark, sf_dir, "pages"))
+    return html_text.extract(spread(table(spark, sf_dir, "pages")))
 
 
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model.score(table(spark, sf_dir, "documents"), fold(10) != 0, extra={"held_out": fold(10) == 0})
+    return language_model.score(spread(table(spark, sf_dir, "documents")), fold(10) != 0, extra={"held_out": fold(10) == 0})
 
 
 def op8_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,11 +58,11 @@ def op8_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(spread(table(spark, sf_dir, "documents")))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     model = langid.fit(docs.where(fold(5) != 0))
     return langid.predict(docs, model, extra={"held_out": fold(5) == 0})
 
