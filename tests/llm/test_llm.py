@@ -368,20 +368,48 @@ def test_html_blocks():
     assert html_text.blocks("") == [] and html_text.blocks("plain &lt;text&gt;") == [("plain <text>", False)]
 
 
+def test_html_names_that_only_look_like_marks_stay():
+    page = """<article><section id="discussion"><p>Kept</p></section><p class="ad-hoc">Also</p><math><mi>x</mi></math><p class="ad-box">Buy</p>
+    <div class="reader-comments">First!</div><ul class="related-links nav">More</ul><p class="notice">Gone</p></article>"""
+    assert [t for t, _ in html_text.blocks(page)] == ["Kept", "Also", "x"]
+    assert html_text.blocks("<div><a href=a>all of this is a link</a></div>") == [("all of this is a link", False)]
+
+
+def pages_of(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit(1), "words": F.lit("x"), "text": F.lit("y"), "n": F.lit(2)})
+
+
 def test_html_boilerplate_by_suffixes(spark):
     line = "every page of this host ends with the very same long line of words"
-    rows = [(i, "http://h.example/x", f"<body><div>own text {t}</div><div>{line}</div></body>") for i, t in enumerate(texts(12, 3, 9))]
-    rows += [(50, None, None), (51, "odd url", "<p>alone</p>")]
-    got = {r.page_id: (r.text, r.n_chars) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert all(got[i][0].startswith("own text") and "same long line" not in got[i][0] for i in range(12))
-    assert got[50] == ("", 0) and got[51] == ("alone", 5)
-    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
-
-
-def test_suffix_ranks():
-    words = np.array([1, 2, 3, 1, 2, 3, 9, 1, 2, 4])
-    rank = html_text.suffix_ranks(words, 2)
-    assert rank[0] == rank[3] == rank[7] and len(set(rank.tolist())) == 7
+    rows = [(i, "http://h.example/x", f"<body><div>own text {t}</div><div>{line}</div></body>") for i, t in enumerate(texts(40, 3, 9))]
+    rows += [(50, None, None), (51, "odd url", "<p>alone</p>"), (51, "odd url", "<p>alone</p>"), (52, "http://l.example", "<p>" + "long " * 200_000 + "</p>")]
+    two = "<p>a passage of more than eight words that two pages of a host share</p>"
+    rows += [(60, "http://two.example/a", two), (61, "http://two.example/b", two)]
+    article = "<article><p>an article of more than eight words that was stored ten times over</p></article>"
+    rows += [(70 + i, "http://ten.example/", article) for i in range(10)]
+    quote = "<p>a quotation of more than eight words that two articles of this host have</p>"
+    rows += [(80 + i, "http://q.example/", f"<article>{quote if i < 2 else ''}<p>{t}</p></article>") for i, t in enumerate(texts(12, 4))]
+    for shard_pages in (256, 10):
+        got = {r.page_id: (r.text, r.n_chars) for r in html_text.extract(pages_of(spark, rows), shard_pages=shard_pages).collect()}
+        assert all(got[i] == (f"own text {t}", len(t) + 9) for i, t in enumerate(texts(40, 3, 9)))
+        assert got[50] == ("", 0) and got[51] == ("alone", 5) and got[52][1] == 999_999
+        assert got[60][0] == got[61][0] == two[3:-4] and all(got[70 + i][0] == article[12:-14] for i in range(10))
+        assert got[80][0].startswith(quote[3:-4])
+    assert html_text.extract(pages_of(spark, rows)).count() == len(rows)
+    assert html_text.extract(pages_of(spark, [])).count() == 0
+
+
+def test_repeats_match_brute_force():
+    r = random.Random(9)
+    pages = [np.array([r.randint(0, 3) for _ in range(r.randint(0, 40))], np.uint32) for _ in range(12)]
+    runs, on = html_text.repeats(pages, 4, 3)
+    found = dict(zip(runs.tolist(), on.tolist()))
+    want = {}
+    for i, p in enumerate(pages):
+        for k in range(len(p) - 3):
+            want.setdefault(tuple(p[k : k + 4].tolist()), set()).add(i)
+    want = {int(html_text.gram_hashes(np.array(g, np.uint32), 4)[0]): len(x) for g, x in want.items() if len(x) >= 3}
+    assert found == want and want
 
 
 # --- Language model
