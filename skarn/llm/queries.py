@@ -12,8 +12,8 @@ from skarn.llm import chat, decontaminate, html_text, langid, language_model, pa
 
 
 def fold(of: int) -> Column:
-    """crc32 of the doc_id as text, modulo ``of``."""
-    return F.crc32(F.col("doc_id").cast("string")) % of
+    """crc32 of the doc_id as text (of nothing where it is null), modulo ``of``."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % of
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

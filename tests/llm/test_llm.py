@@ -250,12 +250,12 @@ def test_language_held_out_and_odd(spark):
 # --- Toxicity
 
 
-def slow_kernel(a, b):
+def slow_kernel(a, b, order=4):
     from itertools import combinations
 
     def maps(s):
         out = {}
-        for at in combinations(range(len(s)), toxicity.ORDER):
+        for at in combinations(range(len(s)), order):
             weight = 1.0
             for k in range(at[0], at[-1]):
                 if k not in at:
@@ -269,11 +269,13 @@ def slow_kernel(a, b):
 
 
 def test_kernel_is_exact_and_the_screen_loses_nothing():
-    words = ["stupid", "st.upid", "stxupid", "pidstu", "abcdef", "sstuuppid", "diputs", "stu-pi-d!"]
-    got = toxicity.kernels(words, ["stupid", "moron"])
+    words = ["stupid", "st.upid", "stxupid", "pidstu", "abcdef", "sstuuppid", "diputs", "stu-pi-d!", "dum", "d.um", "du", "s"]
+    marks = ["stupid", "moron", "dum"]
+    got, own = toxicity.kernels(words, marks), [slow_kernel(z, z, min(4, len(z))) for z in marks]
     for i, w in enumerate(words):
-        assert got[i, 0] == pytest.approx(slow_kernel(w, "stupid"), abs=1e-9)
-        assert got[i, 1] == pytest.approx(slow_kernel(w, "moron"), abs=1e-9)
+        for k, z in enumerate(marks):
+            want = slow_kernel(w, z, min(4, len(z))) / own[k]
+            assert got[i, k] == pytest.approx(want if want >= toxicity.FLOOR else 0, abs=1e-5)
 
 
 def test_toxicity_held_out(spark):
@@ -295,6 +297,34 @@ def test_toxicity_held_out(spark):
     assert toxicity.score(docs_of(spark, ODD), model).count() == len(ODD)
     assert toxicity.score(docs_of(spark, []), model).count() == 0
     assert toxicity.fit(df.drop("toxic"), df.where("toxic = 0").select("doc_id", "toxic")) is None
+    # labels of other documents and repeated documents leave the draw as it is
+    others = spark.range(10_000, 60_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    labels = df.where("doc_id % 4 <> 1").select("doc_id", "toxic")
+    a, b = (toxicity.training_rows(d.drop("toxic"), x, 50, 1 << 18, "toxic", "doc_id", "text") for d, x in ((df, labels), (df.union(df), labels.union(others).union(labels))))
+    assert a == b and len(a[0]) == len(a[1]) == 50
+
+
+def test_toxicity_of_short_words_and_of_many_weak_ones(spark):
+    r = random.Random(3)
+    rows = []
+    for i, t in enumerate(texts(600, 8)):
+        w, bad = t.split(), i % 3 == 0
+        for _ in range(bad):
+            w.insert(r.randrange(len(w)), r.choice(["dum", "ass", "bäh"]))
+        rows.append((i, " ".join(w), int(bad)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.drop("toxic"), df.where("doc_id % 4 <> 1").select("doc_id", "toxic"))
+    got = {x.doc_id: x.predicted for x in toxicity.score(df, model).where("doc_id % 4 = 1").collect()}
+    assert sum(got[d] == y for d, _, y in rows if d in got) >= 0.97 * len(got)
+
+
+def test_toxicity_on_labelled_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    third = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = toxicity.fit(docs.where(third != 1), labels.where(third != 1))
+    seen = toxicity.score(docs.where(third == 1).repartition(4), model).join(labels, "doc_id").where("toxic IS NOT NULL").groupBy("toxic", "predicted").count().collect()
+    n = {(x[0], x[1]): x[2] for x in seen}
+    assert n[1, 1] / (n[1, 1] + n.get((0, 1), 0)) >= 0.9 and n[1, 1] / (n[1, 1] + n[1, 0]) >= 0.75
 
 
 # --- WARC
