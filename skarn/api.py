@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skarn.functions import text as X
@@ -46,7 +46,7 @@ class EngineConfig:
 
 @dataclass(frozen=True)
 class Response:
-    """results(rank, doc_id, score, score_type, title, snippet); facets(field, place, key, count); total counts all matches."""
+    """results(rank, doc_id, score, score_type, url, doc_type, subdomain where known, title, snippet); facets(field, place, key, count); total counts all matches."""
 
     results: DataFrame
     facets: DataFrame | None
@@ -65,7 +65,12 @@ class Response:
 
 @dataclass(frozen=True)
 class SearchEngine:
-    """docs has doc_id, text and any facet columns, pagerank and dup_group; vectors has doc_id and v."""
+    """docs has doc_id, text and any of url, doc_type, subdomain, facet columns, pagerank, anchor_text and dup_group; vectors has doc_id and v.
+
+    segment (Column -> Column of words with compounds joined) is applied to titles, contents, anchors, queries, synonyms and what is
+    embedded alike; without it, words are runs of letters and digits. ``stored`` writes the indexes to a folder of the shared file system once, for
+    every search to read; without it, each search scans the documents.
+    """
 
     docs: DataFrame
     config: EngineConfig = EngineConfig()
@@ -74,25 +79,43 @@ class SearchEngine:
     synonym_groups: DataFrame | None = None
     stopwords: DataFrame | None = None
     vocabulary: DataFrame | None = None
+    segment: Callable[[Column], Column] | None = None
+    indexes: tuple[index.Index, index.Index] | None = None
+
+    def stored(self, path: str) -> SearchEngine:
+        """The engine with its indexes written below path, once."""
+        made = self._indexes()
+        return replace(self, indexes=(index.store(made[0], f"{path}/words"), index.store(made[1], f"{path}/folded")))
+
+    def _indexes(self) -> tuple[index.Index, index.Index]:
+        if self.indexes is not None:
+            return self.indexes
+        words = index.build(self.docs, index.segmented_fields(self.segment) if self.segment else index.SEGMENTED)
+        if "anchor_text" in self.docs.columns:
+            words = index.with_anchors(words, self.docs.select("doc_id", "anchor_text"), self._tokens)
+        return words, index.build(self.docs, index.FOLDED)
+
+    def _tokens(self, text: Column) -> Column:
+        return F.filter(F.split(self.segment(text), " "), lambda x: x != "") if self.segment else X.word_tokens(text)
 
     def _terms(self, words: list[str]) -> DataFrame:
         return self.docs.sparkSession.createDataFrame([(0, i, w) for i, w in enumerate(words)], "qid long, off int, term string")
 
-    def _words(self, text: str, tokens=X.word_tokens) -> list[str]:
-        return self.docs.sparkSession.createDataFrame([(text,)], "t string").select(tokens(F.col("t"))).first()[0]
+    def _words(self, text: str, tokens=None) -> list[str]:
+        return self.docs.sparkSession.createDataFrame([(text,)], "t string").select((tokens or self._tokens)(F.col("t"))).first()[0]
 
     def keyword_scores(self, q: str, by: str, prf: bool = True) -> DataFrame:
         """(qid, doc_id, score) of a simple or structured query with what the configuration adds."""
-        c, seg = self.config, index.build(self.docs)
-        boosts = {"title": Q.TITLE, "content": Q.CONTENT}
+        c, (seg, plain) = self.config, self._indexes()
+        boosts = {"title": Q.TITLE, "content": Q.CONTENT, "anchor": Q.ANCHOR}
         structured = Q.is_structured(q)
         if structured:
-            scores = Q.compile_tree(Q.parse(q), seg, by).select(F.lit(0).cast("long").alias("qid"), "doc_id", "score")
+            scores = Q.compile_tree(Q.parse(q, self._words), seg, by).select(F.lit(0).cast("long").alias("qid"), "doc_id", "score")
         else:
             if not q.strip():
                 raise Q.QueryError("the query is blank")
             words, folded = self._words(q), self._words(q, X.folded_tokens)
-            scores = Q.simple_search(seg, index.build(self.docs, index.FOLDED), self._terms(words), self._terms(folded), by)
+            scores = Q.simple_search(seg, plain, self._terms(words), self._terms(folded), by)
         extra: list[str] = []
         if c.expand_synonyms and self.synonym_groups is not None and not structured:
             asked = self.docs.sparkSession.createDataFrame([(0, q)], "qid long, text string")
@@ -152,11 +175,13 @@ class SearchEngine:
             return keyword
         if self.vectors is None or self.embed_query is None:
             raise ValueError("vector search needs vectors and embed_query")
-        asked = self.docs.sparkSession.createDataFrame([(None, [float(x) for x in self.embed_query(q)])], "qid long, q array<double>")
+        said = " ".join(self._words(q)) if self.segment else " ".join(q.lower().split())  # as the documents were before they were embedded
+        asked = self.docs.sparkSession.createDataFrame([(None, [float(x) for x in self.embed_query(said)])], "qid long, q array<double>")
         near = R.knn(self.vectors.select("doc_id", "v"), asked.withColumn("qid", F.lit(-1).cast("long")), pool).select(F.lit(0).cast("long").alias("qid"), "rank", "doc_id", F.col("cosine").alias("score"))
         return near if name == "vector" else R.reciprocal_rank_fusion([keyword, near], self.config.rrf_k)
 
     def _shown(self, ranked: DataFrame, q: str, kind: str) -> DataFrame:
-        word = (self._words(q) or [""])[0]
-        shown = self.docs.select("doc_id", X.title_of(F.col("text")).alias("title"), X.highlight(F.coalesce("text", F.lit("")), F.lit(word)).alias("snippet"))
-        return ranked.join(shown, "doc_id").select("rank", "doc_id", "score", F.lit(kind).alias("score_type"), "title", "snippet").orderBy("rank")
+        word = (self._words(q, X.word_tokens) or [""])[0]
+        more = [c for c in ("url", "doc_type", "subdomain") if c in self.docs.columns]
+        shown = self.docs.select("doc_id", *more, X.title_of(F.col("text")).alias("title"), X.highlight(F.coalesce("text", F.lit("")), F.lit(word)).alias("snippet"))
+        return ranked.join(shown, "doc_id").select("rank", "doc_id", "score", F.lit(kind).alias("score_type"), *more, "title", "snippet").orderBy("rank")

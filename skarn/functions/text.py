@@ -15,8 +15,8 @@ FOLDED_TO_TWO = {"ß": "ss", "æ": "ae", "œ": "oe"}
 
 
 def word_tokens(text: Column) -> Column:
-    """Runs of ASCII letters of the lower-cased text; null has none."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z]+)"))
+    """Runs of letters, marks and digits of any alphabet in the lower-cased text; null has none."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\pL\pM\pN]+)"))
 
 
 def whitespace_tokens(text: Column) -> Column:
@@ -88,6 +88,39 @@ def segmenter(dictionary: Iterable[str], stopwords: Iterable[str] = ()):
     return lambda text: segment(F.regexp_replace(normalize(text, compose=True), r"[^\p{L}\p{Nd}\s]", " "))
 
 
+def cleaned_segments(words: Column, stopwords: Iterable[str] = ()) -> Column:
+    """The words of another segmenter (compounds joined by an underscore) by the rules of this one: lower case, only letters, digits and
+    underscores, no empty words, single stopwords dropped."""
+    stop = list(stopwords)
+    kept = F.transform(F.split(F.trim(normalize(words)), " "), lambda w: F.regexp_replace(w, r"[^\p{L}\p{Nd}_]", ""))
+    return F.array_join(F.filter(kept, lambda w: (w != "") & (~w.isin(stop) if stop else F.lit(True))), " ")
+
+
+def escape_html(text: Column) -> Column:
+    """Text that is safe inside markup and attributes."""
+    out = text
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def safe_highlight(marked: Column) -> Column:
+    """A highlighted fragment with everything escaped but its own marks."""
+    out = escape_html(marked)
+    for tag in ("<em>", "</em>"):
+        out = F.replace(out, F.lit(tag.replace("<", "&lt;").replace(">", "&gt;")), F.lit(tag))
+    return out
+
+
+def embedding_text(title_seg: Column, content_seg: Column, size: int = 2000) -> Column:
+    return F.substring(F.concat(F.coalesce(title_seg, F.lit("")), F.lit(" "), F.coalesce(content_seg, F.lit(""))), 1, size)
+
+
+def service_text(text: Column, size: int = 4000) -> Column:
+    """What a model service takes of a text at most."""
+    return F.substring(F.coalesce(text, F.lit("")), 1, size)
+
+
 def shingles(tokens: Column, k: int = 5) -> Column:
     """Distinct shingles of k tokens; fewer tokens are one shingle, none have none; k of 0 or less means 5."""
     k = k if k > 0 else 5

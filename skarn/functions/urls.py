@@ -37,4 +37,16 @@ def resolve(base: Column, href: Column) -> Column:
     whole = F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.substring_index(base, ":", 1), F.lit(":"), href))
     whole = whole.when(href.startswith("/"), F.concat(origin, href)).when(href.startswith("#"), F.concat(F.substring_index(base, "#", 1), href))
     whole = whole.when(href.startswith("?"), F.concat(origin, path, href))
-    return whole.otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), href))
+    whole = whole.otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), href))
+    return without_dots(whole)
+
+
+def without_dots(url: Column) -> Column:
+    """An absolute URL whose path has its ``.`` and ``..`` steps taken."""
+    pattern = r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)(/[^?#]*)([\s\S]*)$"
+    path = F.regexp_extract(url, pattern, 2)
+    steps = F.slice(F.split(path, "/"), 2, 1 << 20)
+    none = F.array().cast("array<string>")
+    taken = F.aggregate(steps, none, lambda got, s: F.when(s == "..", F.when(F.size(got) > 0, F.slice(got, F.lit(1), F.size(got) - 1)).otherwise(got)).when(s == ".", got).otherwise(F.array_append(got, s)))
+    tail = F.when(F.element_at(steps, -1).isin(".", "..") & (F.size(taken) > 0), "/").otherwise("")
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.concat(F.regexp_extract(url, pattern, 1), F.lit("/"), F.array_join(taken, "/"), tail, F.regexp_extract(url, pattern, 3))).otherwise(url)

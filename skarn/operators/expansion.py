@@ -69,3 +69,10 @@ def correct_queries(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
     said = F.struct("pos", F.coalesce("suggestion", "word", "token").alias("w"))
     out = fixed.groupBy("qid").agg(F.array_sort(F.collect_list(said)).alias("ws"), F.max(F.col("suggestion").isNotNull()).alias("changed"))
     return out.where("changed").select("qid", F.array_join(F.transform("ws", lambda x: x["w"]), " ").alias("corrected"))
+
+
+def dictionary_vocabulary(entries: DataFrame, tokens=None) -> DataFrame:
+    """(pos, entry): the distinct syllables of a dictionary's entries(line, entry), in order of first appearance; pos grows with it."""
+    parts = tokens(F.col("entry")) if tokens else F.filter(F.split(F.lower(F.trim("entry")), r"[\s_]+"), lambda x: x != "")
+    seen = entries.select("line", F.posexplode(parts).alias("place", "entry")).groupBy("entry").agg(F.min(F.struct("line", "place")).alias("pos"))
+    return seen.select("pos", "entry")

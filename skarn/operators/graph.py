@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skarn.functions.runtime import cut
+from skarn.operators.ingest import partial_update
 
 
 def clean_links(links: DataFrame) -> DataFrame:
@@ -44,11 +45,11 @@ class PageRank:
     converged: bool
 
 
-def pagerank(nodes: DataFrame, links: DataFrame, damping: float = 0.85, tolerance: float = 1e-8, most: int = 100, check_every: int = 5) -> PageRank:
+def pagerank(nodes: DataFrame, links: DataFrame, damping: float = 0.85, tolerance: float = 1e-8, most: int = 100, cut_every: int = 5) -> PageRank:
     """ranks(id, pagerank) by power iteration; dangling mass is spread evenly.
 
     Links are kept partitioned by their source with the share each carries; a round is a join and a pre-aggregated
-    sum. Lineage is cut at every check for convergence (L1 distance); a tolerance of 0 or less runs ``most`` rounds.
+    sum. Convergence (L1 distance) is looked at in every round, each round then cut; a tolerance of 0 or less runs ``most`` rounds.
     """
     e = corpus_links(links.where("src <> dst").select("src", "dst").distinct(), nodes)
     out = e.groupBy("src").agg(F.count("*").alias("deg"))
@@ -64,7 +65,7 @@ def pagerank(nodes: DataFrame, links: DataFrame, damping: float = 0.85, toleranc
         nxt = r.join(given, "id", "left").join(F.broadcast(mass)).select(
             "id", "dangling", F.col("pagerank").alias("before"), ((1 - damping) / n + damping * (F.coalesce("given", F.lit(0.0)) + F.col("mass") / n)).alias("pagerank")
         )
-        if i % check_every == 0 or i == most:
+        if tolerance > 0 or i % cut_every == 0 or i == most:
             nxt = cut(nxt)
             if tolerance > 0 and nxt.agg(F.sum(F.abs(F.col("pagerank") - F.col("before")))).first()[0] < tolerance:
                 return PageRank(nxt.select("id", "pagerank"), i, True)
@@ -72,6 +73,32 @@ def pagerank(nodes: DataFrame, links: DataFrame, damping: float = 0.85, toleranc
     return PageRank(r.select("id", "pagerank"), most, tolerance <= 0)
 
 
+def link_fields(index: DataFrame, ranks: DataFrame, anchors: DataFrame, segment=lambda c: c, key: str = "doc_id") -> DataFrame:
+    """index with pagerank (0 where there is none) and, only where they aren't blank, anchor_text and anchor_text_seg written back.
+    ranks has (key, pagerank), anchors (key, anchor_text)."""
+    text = F.when(F.trim("anchor_text") != "", F.col("anchor_text"))
+    told = anchors.select(key, text.alias("anchor_text"), F.when(text.isNotNull(), segment(text)).alias("anchor_text_seg"))
+    news = index.select(key).join(ranks.select(key, "pagerank"), key, "left").join(told, key, "left").withColumn("pagerank", F.coalesce("pagerank", F.lit(0.0)))
+    return partial_update(index, news, key)
+
+
+def crawl(seeds: DataFrame, links: DataFrame, depth: int, most_pages: int) -> tuple[DataFrame, DataFrame]:
+    """(pages, edges) of a breadth-first crawl over stored links(src, dst) from seeds(id): pages(id, level) within ``depth`` links and at most
+    ``most_pages``, the smaller ids of a level first; edges are all links of the pages, also those to pages seen before or too deep."""
+    front = cut(seeds.select("id").distinct().orderBy("id").limit(max(0, most_pages)).withColumn("level", F.lit(0)))
+    pages, held = front, front.count()
+    for level in range(1, depth + 1):
+        if held >= most_pages:
+            break
+        found = front.join(links, front.id == links.src).select(F.col("dst").alias("id")).distinct().join(pages.select("id"), "id", "left_anti")
+        front = cut(found.orderBy("id").limit(most_pages - held).withColumn("level", F.lit(level)))
+        new = front.count()
+        if not new:
+            break
+        pages, held = cut(pages.union(front)), held + new
+    return pages, links.join(pages.select(F.col("id").alias("src")), "src", "left_semi")
+
+
 def bfs_levels(seeds: DataFrame, links: DataFrame, depth: int) -> DataFrame:
     """(id, level): nodes reached from seeds(id) within ``depth`` links; each level is joined with the links and cleared of what was seen."""
     seen = cut(seeds.select("id").distinct().withColumn("level", F.lit(0)))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skarn.functions import text as X
+from skarn.functions.runtime import shuffle_partitions
 
 Field = tuple[str, Callable[[Column], Column], Callable[[Column], Column]]
 #: Fields of a search document: name, what of the text, and its tokens.
@@ -20,19 +21,31 @@ FOLDED: tuple[Field, ...] = (("title_folded", X.title_of, X.folded_tokens), ("co
 class Index:
     """fields(doc_id, field, dl, tokens): one row for each document and non-empty field, never shuffled.
 
-    Postings are made for the terms that are asked for: the scan explodes tokens, a join with the terms (small:
+    Without a stored table postings are made for the terms that are asked for: the scan explodes tokens, a join with the terms (small:
     broadcast by Spark where their size allows) leaves those of the queries, and only these are
-    aggregated. Statistics come from all documents, whatever filters a search has.
+    aggregated. ``store`` writes all postings once, dealt into folders by term, and a search then reads the folders and row groups of its
+    terms only. Statistics come from all documents, whatever filters a search has.
     """
 
     fields: DataFrame
+    #: (bucket, field, term, doc_id, dl, tf, positions), where the index is stored.
+    stored: DataFrame | None = None
 
-    def tokens(self) -> DataFrame:
-        """(doc_id, field, dl, pos, term)"""
-        return self.fields.select("doc_id", "field", "dl", F.posexplode("tokens").alias("pos", "term"))
+    def _stored(self, terms: DataFrame) -> DataFrame:
+        wanted = terms.select("term").distinct().withColumn("bucket", bucket_of(F.col("term")))
+        return self.stored.join(wanted, ["bucket", "term"], "left_semi")
+
+    def tokens(self, terms: DataFrame | None = None) -> DataFrame:
+        """(doc_id, field, dl, pos, term), of these terms or of all."""
+        if self.stored is not None and terms is not None:
+            return self._stored(terms).select("doc_id", "field", "dl", F.explode("positions").alias("pos"), "term")
+        t = self.fields.select("doc_id", "field", "dl", F.posexplode("tokens").alias("pos", "term"))
+        return t if terms is None else t.join(terms.select("term").distinct(), "term", "left_semi")
 
     def postings(self, terms: DataFrame | None = None) -> DataFrame:
         """(field, term, doc_id, dl, tf), of these terms or of all."""
+        if self.stored is not None:
+            return (self.stored if terms is None else self._stored(terms)).select("field", "term", "doc_id", "dl", "tf")
         t = self.fields.select("doc_id", "field", "dl", F.explode("tokens").alias("term"))
         if terms is not None:
             t = t.join(terms.select("term").distinct(), "term", "left_semi")
@@ -43,10 +56,47 @@ class Index:
         return self.fields.groupBy("field").agg(F.count("*").alias("n_docs"), F.sum("dl").alias("total_tokens"), F.avg("dl").alias("avgdl"))
 
 
+BUCKETS = 32
+
+
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def store(index: Index, path: str) -> Index:
+    """The index written to a folder of the shared file system, once: the forward rows, and the postings with positions by bucket of the term. A bucket is
+    dealt over several tasks by document, so that a very frequent term isn't written by one."""
+    spark = index.fields.sparkSession
+    index.fields.write.mode("overwrite").parquet(f"{path}/fields")
+    forward = spark.read.parquet(f"{path}/fields")
+    posted = forward.select("doc_id", "field", "dl", F.posexplode("tokens").alias("pos", "term")).groupBy("field", "term", "doc_id", "dl")
+    posted = posted.agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")).withColumn("bucket", bucket_of(F.col("term")))
+    tasks = shuffle_partitions(spark)
+    dealt = posted.repartition(tasks, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, tasks // BUCKETS))))
+    dealt.sortWithinPartitions("bucket", "field", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    return Index(forward, spark.read.parquet(f"{path}/postings"))
+
+
 def build(docs: DataFrame, fields: tuple[Field, ...] = SEGMENTED, id_col: str = "doc_id", text_col: str = "text") -> Index:
     """Documents without a token in a field have no row for it."""
     per_field = F.array(*(F.struct(F.lit(name).alias("field"), tokens(part(F.col(text_col))).alias("tokens")) for name, part, tokens in fields))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(per_field).alias("f"))
+    return _of_fields(rows)
+
+
+def segmented_fields(segment: Callable[[Column], Column]) -> tuple[Field, ...]:
+    """Title and content as the words that a segmenter leaves, compounds joined."""
+    words = lambda text: F.filter(F.split(segment(text), " "), lambda x: x != "")
+    return (("title", X.title_of, words), ("content", lambda t: t, words))
+
+
+def with_anchors(index: Index, anchors: DataFrame, tokens: Callable[[Column], Column] = X.word_tokens) -> Index:
+    """The index with the field ``anchor`` from anchors(doc_id, anchor_text): what links say of a document."""
+    rows = anchors.select("doc_id", F.struct(F.lit("anchor").alias("field"), tokens(F.col("anchor_text")).alias("tokens")).alias("f"))
+    return Index(index.fields.unionByName(_of_fields(rows).fields))
+
+
+def _of_fields(rows: DataFrame) -> Index:
     return Index(rows.select("doc_id", "f.field", F.size("f.tokens").cast("long").alias("dl"), "f.tokens").where("dl > 0"))
 
 

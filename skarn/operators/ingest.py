@@ -28,8 +28,9 @@ def upsert(incoming: DataFrame, stored: DataFrame, key: str = "url", content_has
 
 
 def insert_or_ignore(incoming: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
-    """stored and the incoming rows with new keys, one of each."""
-    fresh = incoming.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
+    """stored and the incoming rows with new keys; of rows with equal keys the smallest."""
+    whole = F.struct(*(F.col(c) for c in stored.columns))
+    fresh = incoming.groupBy(*keys).agg(F.min(whole).alias("_row")).select("_row.*").join(stored.select(*keys), keys, "left_anti")
     return stored.unionByName(fresh.select(*stored.columns))
 
 
@@ -48,6 +49,32 @@ def update_report(index: DataFrame, updates: DataFrame, key: str = "id") -> Data
     return known.agg(F.count("_k").alias("ok"), F.count_if(F.col("_k").isNull()).alias("failed"), F.min(F.when(F.col("_k").isNull(), F.col(key))).alias("first_failed"))
 
 
+def overwrite(index: DataFrame, rows: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """index after a bulk write of whole rows by key: a row replaces the one with its key or is added; of rows with one key the last
+    by ``order`` counts; rows with a null or blank key aren't written."""
+    ok = rows.where(F.trim(F.coalesce(F.col(key).cast("string"), F.lit(""))) != "")
+    whole = F.struct(*(F.col(c) for c in index.columns))
+    last = ok.groupBy(key).agg((F.max_by(whole, order) if order else F.max(whole)).alias("_row")).select("_row.*")
+    return index.join(last.select(key), key, "left_anti").unionByName(last)
+
+
+def overwrite_report(rows: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """(ok, failed, first_error) of a bulk write: every row with a key counts as written, first_error names the first that isn't."""
+    bad = F.trim(F.coalesce(F.col(key).cast("string"), F.lit(""))) == ""
+    at = F.col(order).cast("string") if order else F.lit("?")
+    error = F.concat(F.lit("row "), at, F.lit(": no "), F.lit(key))
+    first = F.min_by(F.when(bad, error), F.when(bad, F.col(order) if order else F.lit(0)))
+    return rows.agg(F.count_if(~bad).alias("ok"), F.count_if(bad).alias("failed"), first.alias("first_error"))
+
+
+def crawl_counters(status: DataFrame, files: DataFrame, edges: DataFrame) -> DataFrame:
+    """(counter, n): pages by status, then files and edges stored."""
+    each = status.groupBy(F.col("status").alias("counter")).agg(F.count("*").alias("n"))
+    for name, df in (("files", files), ("edges", edges)):
+        each = each.unionByName(df.agg(F.count("*").alias("n")).select(F.lit(name).alias("counter"), "n"))
+    return each
+
+
 def search_documents(pages: DataFrame, segment=lambda c: c, lang: str = "vi") -> DataFrame:
     """Search documents of pages(url, title, content, doc_type, subdomain, published_at, crawled_at) with a url that isn't blank."""
     given = lambda c: F.coalesce(F.col(c), F.lit(""))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skarn.functions import text as X
 from skarn.functions import urls as U
-from skarn.functions.runtime import table
+from skarn.functions.runtime import checkpoint_dir, spread, table
 from skarn.operators import classify, evaluation, expansion, graph, index, ingest, neardup, telemetry
 from skarn.operators import ranking as R
 from skarn.plans import query as Q
-from skarn.sources import html
+from skarn.sources import files, html
 
 QUERY_WORDS, TOP = 4, 10
 BOOSTS = {"title": 2.0, "content": 1.0}
@@ -26,11 +28,18 @@ PHRASE_WORDS = 3
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
+
+
+#: Indexes stored by this application: written at the first search, read by all later ones.
+_STORED: dict[tuple, index.Index] = {}
 
 
-def _index(spark, sf, fields=index.SEGMENTED):
-    return index.build(_docs(spark, sf), fields)
+def _index(spark, sf, fields=index.SEGMENTED, name="words"):
+    key = (spark.sparkContext.applicationId, sf, name, tuple(f[0] for f in fields))
+    if key not in _STORED:
+        _STORED[key] = index.store(index.build(_docs(spark, sf), fields), f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}")
+    return _STORED[key]
 
 
 def _terms(spark, sf, n=QUERY_WORDS, tokens=X.word_tokens):
@@ -43,6 +52,90 @@ def _texts(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(X.word_tokens(F.col("text")), 1, QUERY_WORDS), " ").alias("text"))
 
 
+DICTIONARY = [f"{a} the" for a in ("in", "of", "to", "on", "for")]
+STOPWORDS = ["a", "and", "et", "und", "y"]
+
+
+def _segment():
+    return X.segmenter(DICTIONARY, STOPWORDS)
+
+
+def segment_text(spark, sf):
+    return _docs(spark, sf).select("doc_id", _segment()(F.col("text")).alias("segmented"))
+
+
+def segmented_multifield(spark, sf):
+    """multifield_dismax over segmented titles and contents, the queries segmented by the same function."""
+    idx = _index(spark, sf, index.segmented_fields(_segment()), "segmented")
+    words = F.filter(F.split(_segment()(F.col("text")), " "), lambda x: x != "")
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.explode(words).alias("term"))
+    return R.top_k(R.best_field(R.field_scores(idx, q, BOOSTS)), TOP)
+
+
+def _anchors(spark, sf):
+    """What labels say of documents, as if links said it."""
+    said = F.when(F.col("quality") == 1, F.concat(F.lit("a good page "), F.col("doc_id").cast("string"))).otherwise(" ")
+    return table(spark, sf, "labels").select("doc_id", said.alias("anchor_text"))
+
+
+def anchor_search(spark, sf):
+    """Three fields, that of the anchors among them, with its own boost."""
+    idx = index.with_anchors(_index(spark, sf), _anchors(spark, sf))
+    q = spark.createDataFrame([(0, "good"), (0, "the"), (1, "page"), (1, "worthless")], "qid long, term string")
+    return R.top_k(R.best_field(R.field_scores(idx, q, BOOSTS | {"anchor": Q.ANCHOR})), 50)
+
+
+def link_fields(spark, sf):
+    ranks = _docs(spark, sf).where("n_chars > 500").select("doc_id", (1.0 / (1 + F.col("n_chars"))).alias("pagerank"))
+    return graph.link_fields(_docs(spark, sf).select("doc_id", "lang"), ranks, _anchors(spark, sf), lambda c: F.trim(F.lower(c)))
+
+
+def dup_group_update(spark, sf):
+    d = _docs(spark, sf)
+    return ingest.partial_update(d.select("doc_id", F.col("doc_id").alias("dup_group")), neardup.dup_group_updates(neardup.exact_duplicates(d)), "doc_id")
+
+
+def category_update(spark, sf):
+    news = nb_predict(spark, sf).select("doc_id", F.col("predicted").alias("category"))
+    return ingest.partial_update(_docs(spark, sf).select("doc_id", F.lit(None).cast("string").alias("category")), news, "doc_id")
+
+
+def _bulk(spark, sf):
+    rows = table(spark, sf, "labels").select(F.when(F.col("doc_id") % 7 != 3, F.col("doc_id") * 2).alias("doc_id"), F.concat(F.lit("new "), "doc_id").alias("lang"), F.col("doc_id").alias("line"))
+    return _docs(spark, sf).select("doc_id", "lang", F.lit(0).cast("long").alias("line")), rows
+
+
+def overwrite_result(spark, sf):
+    return ingest.overwrite(*_bulk(spark, sf), "doc_id", "line")
+
+
+def overwrite_report(spark, sf):
+    return ingest.overwrite_report(_bulk(spark, sf)[1], "doc_id", "line")
+
+
+def crawl_counters(spark, sf):
+    links = page_links(spark, sf)
+    return ingest.crawl_counters(change_status(spark, sf), links.where(U.file_type(F.col("link")).isNotNull()), links)
+
+
+def limited_files(spark, sf):
+    return files.first_rows(_docs(spark, sf).select("doc_id", "lang"), 25, "doc_id")
+
+
+def model_texts(spark, sf):
+    t = F.col("text")
+    return _docs(spark, sf).select("doc_id", X.rerank_text(X.title_of(t), t).alias("rerank"), X.embedding_text(X.title_of(t), F.lower(t)).alias("embed"), F.length(X.service_text(t)).alias("service_chars"))
+
+
+def highlight_safe(spark, sf):
+    return _docs(spark, sf).select("doc_id", X.safe_highlight(X.highlight(F.col("text"), F.lit("worthless"))).alias("snippet"))
+
+
+def crawl_pages(spark, sf):
+    nodes, links = _part_graph(spark, sf)
+    return graph.crawl(nodes.where("cast(id AS bigint) <= 20"), links, 3, 60)[0]
+
+
 def postings_tf(spark, sf):
     return _index(spark, sf).postings().select("field", "term", "doc_id", "tf", "dl")
 
@@ -155,12 +248,10 @@ def rrf_fusion(spark, sf):
 
 
 def _vector_side(spark, sf, pool):
-    """A stand-in for the vector list of the text queries: overlap of word sets of documents that share a query word."""
-    q = _texts(spark, sf)
-    hits = R.field_scores(_index(spark, sf), _terms(spark, sf), {"title": 1.0})
-    d = _docs(spark, sf).select("doc_id", X.title_of(F.col("text")).alias("title"))
-    joined = hits.select("qid", "doc_id").distinct().join(d, "doc_id").join(q, "qid")
-    return R.top_k(joined.select("qid", "doc_id", R.overlap_score(F.col("text"), F.col("title")).alias("score")), pool)
+    """The vector list of the text queries: nearest neighbours of the vector that has the query's id."""
+    v = _vectors(spark, sf).select("doc_id", "v")
+    q = v.join(table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("qid"), F.col("v").alias("q"))
+    return R.knn(v, q, pool).select("qid", "rank", "doc_id")
 
 
 def hybrid_search(spark, sf):
@@ -308,10 +399,18 @@ def synonym_expand(spark, sf):
 
 
 def spell_suggest(spark, sf):
-    words = _docs(spark, sf).select(F.explode(F.slice(X.word_tokens(F.col("text")), 1, 3)).alias("word"))
-    v = _docs(spark, sf).select(F.explode(F.slice(X.word_tokens(F.col("text")), 4, 20)).alias("entry")).groupBy("entry").agg(F.count("*").alias("n")).where("n >= 3")
-    numbered = v.select(F.col("entry").alias("pos"), "entry")
-    return expansion.corrections(words, numbered)
+    """Every word of every text that isn't in the vocabulary: the words of the benchmark items, in order of appearance."""
+    words = _docs(spark, sf).select(F.explode(X.word_tokens(F.col("text"))).alias("word"))
+    return expansion.corrections(words, _vocabulary(spark, sf))
+
+
+def dictionary_vocabulary(spark, sf):
+    return _vocabulary(spark, sf).select("pos.line", "pos.place", "entry")
+
+
+def _vocabulary(spark, sf):
+    entries = table(spark, sf, "benchmark").select(F.col("item_id").alias("line"), F.col("text").alias("entry"))
+    return expansion.dictionary_vocabulary(entries, X.word_tokens)
 
 
 def normalize_text(spark, sf):
@@ -323,8 +422,10 @@ def shingle_counts(spark, sf):
 
 
 def kgram_similarity(spark, sf):
-    t = _docs(spark, sf).select("doc_id", X.word_tokens(F.col("text")).alias("w")).where("size(w) > 1").select("doc_id", F.col("w")[0].alias("a"), F.col("w")[1].alias("b"))
-    return t.select("doc_id", "a", "b", F.round(X.jaccard(X.char_kgrams(F.col("a")), X.char_kgrams(F.col("b"))), 6).alias("similarity"), F.levenshtein("a", "b").alias("distance"))
+    """Of all pairs of neighbouring folded words."""
+    w = _docs(spark, sf).select(X.folded_tokens(F.col("text")).alias("w")).where("size(w) > 1")
+    t = w.select(F.explode(F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("a"), F.slice("w", F.lit(2), F.size("w") - 1).alias("b"))).alias("p")).select("p.a", "p.b").distinct()
+    return t.select("a", "b", F.round(X.jaccard(X.char_kgrams(F.col("a")), X.char_kgrams(F.col("b"))), 6).alias("similarity"), F.levenshtein("a", "b").alias("distance"))
 
 
 def url_parts(spark, sf):
@@ -429,7 +530,8 @@ QUERIES = {
         minhash_cluster_sizes, nb_train_counts, nb_predict, nb_leave_one_out, classifier_metrics, classifier_summary, category_distribution, rocchio_terms, expanded_search,
         synonym_expand, spell_suggest, normalize_text, shingle_counts, kgram_similarity, url_parts, page_titles, page_links, change_status, change_counts, upsert_result,
         insert_or_ignore, partial_update, update_report, search_documents, politeness_schedule, requests_total, latency_histogram, request_rate_1m, error_rate_5m,
-        quantile_from_buckets, in_flight, uptime,
+        quantile_from_buckets, in_flight, uptime, segment_text, segmented_multifield, anchor_search, link_fields, dup_group_update, category_update, overwrite_result, overwrite_report,
+        crawl_counters, limited_files, model_texts, highlight_safe, crawl_pages, dictionary_vocabulary,
     )},
     "bm25_topk": _ranked("bm25", ["content"]), "vsm_topk": _ranked("vsm", ["content"]), "lm_topk": _ranked("lm", ["content"]), "multifield_dismax": _ranked("bm25"),
     **{name: _boolean(name) for name in BOOLEAN},

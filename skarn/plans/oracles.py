@@ -6,7 +6,7 @@ from skarn.operators.telemetry import BOUNDS
 from skarn.plans.catalog import SYNONYMS
 
 TITLE = "split_part(text, chr(10), 1)"
-WORDS = "regexp_extract_all(lower({}), '[a-z]+')"
+WORDS = "regexp_extract_all(lower({}), '[\\pL\\pM\\pN]+')"
 FOLD = "strip_accents(replace(replace(replace(replace(replace(lower({}), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), 'đ', 'd'), 'ø', 'o'))"
 FOLDED = f"regexp_extract_all({FOLD}, '[a-z0-9]+')"
 
@@ -23,6 +23,13 @@ def fields_sql(a: str, b: str, tokens: str, p: str = "") -> str:
 {p}ts AS (SELECT field, term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM {p}post GROUP BY ALL)"""
 
 
+#: Compounds of two words and stopwords of the segmenter, on text in which every blank is doubled, so that neighbours share none.
+SEGMENTED = (
+    "trim(regexp_replace(regexp_replace(regexp_replace(' ' || replace(trim(regexp_replace(regexp_replace(lower({}), '[^\\pL\\d\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' ', '  ') || ' ',"
+    " ' (in|of|to|on|for)  (the) ', ' \\1_\\2 ', 'g'), ' (a|and|et|und|y) ', ' ', 'g'), ' +', ' ', 'g'))"
+)
+ANCHORS = "SELECT doc_id, CASE WHEN quality = 1 THEN 'a good page ' || doc_id ELSE ' ' END AS anchor_text FROM labels"
+BULK = "SELECT doc_id * 2 AS doc_id, 'new ' || doc_id AS lang, doc_id AS line, row_number() OVER (PARTITION BY doc_id ORDER BY doc_id DESC) AS n FROM labels WHERE doc_id % 7 <> 3"
 SEG = fields_sql("title", "content", WORDS)
 FOL = fields_sql("title_folded", "content_folded", FOLDED, "f")
 
@@ -175,7 +182,7 @@ ORACLES = {
     "legacy_bm25_sum": KEYWORD + ", total AS (SELECT qid, doc_id, sum(score) AS score FROM fsc GROUP BY ALL)" + top_sql("total", 10),
     "boolean_and": "WITH" + SEG + f" SELECT doc_id, round(a.score + b.score, 6) AS score FROM {run_sql('ering')} a JOIN {run_sql('thtion')} b USING (doc_id)",
     "boolean_or": "WITH" + SEG + f" SELECT doc_id, round(sum(score), 6) AS score FROM (SELECT * FROM {run_sql('worthless')} UNION ALL SELECT * FROM {run_sql('thtion')}"
-    + " UNION ALL SELECT doc_id, max(score) FROM (SELECT doc_id, field, sum((" + BM25 + ") * CASE field WHEN 'title' THEN 2.0 ELSE 1.0 END) AS score FROM post JOIN ts USING (field, term) JOIN fs USING (field) WHERE term IN ('ci', 'nrr') GROUP BY ALL HAVING count(*) = 2) GROUP BY doc_id) GROUP BY doc_id",
+    + " UNION ALL SELECT doc_id, max(score) FROM (SELECT doc_id, field, sum((" + BM25 + ") * CASE field WHEN 'title' THEN 2.0 ELSE 1.0 END) AS score FROM post JOIN ts USING (field, term) JOIN fs USING (field) WHERE term = 'ciónrr' GROUP BY ALL) GROUP BY doc_id) GROUP BY doc_id",
     "boolean_not": "WITH" + SEG + f" SELECT doc_id, round(score, 6) AS score FROM {run_sql('the')} WHERE doc_id NOT IN (SELECT doc_id FROM post WHERE term = 'ering')",
     "boolean_group": "WITH" + SEG + ", q AS (SELECT 0 AS qid, 'the' AS term, 0 AS off)" + phrase_sql({"title": 1.0, "content": 1.0}, 0)
     + f" SELECT doc_id, round(a.score + ph.score, 6) AS score FROM (SELECT doc_id, sum(score) AS score FROM (SELECT * FROM {run_sql('idiot')} UNION ALL SELECT * FROM {run_sql('clown')}) GROUP BY doc_id) a JOIN ph USING (doc_id)",
@@ -198,9 +205,11 @@ SELECT doc_id, CASE WHEN ap > 0 THEN CASE WHEN f > 1 THEN '...' ELSE '' END || s
 SELECT doc_id, replace(CASE WHEN ap > 0 THEN '<em>' || substring(f, 1, 9) || '</em>' || substring(f, 10, 180) ELSE substring(text, 1, 180) || '…' END, '_', ' ') AS snippet FROM r""",
     "knn_exact": f"WITH {VEC} SELECT qid, rank, doc_id, cosine, round((1 + cosine) / 2, 7) AS score FROM knn",
     "rrf_fusion": f"WITH {VEC}" + rrf_sql("near", "knn"),
-    "hybrid_search": KEYWORD + scores_sql(BM25, {"title": 1.0}, name="tsc") + f""", tx AS ({TEXTS}),
-ov AS (SELECT qid, doc_id, {OVERLAP} AS score FROM (SELECT DISTINCT qid, doc_id FROM tsc) JOIN (SELECT doc_id, {SPLIT.format(TITLE)} AS b FROM documents) USING (doc_id) JOIN (SELECT qid, {SPLIT.format('qtext')} AS a FROM tx) USING (qid)),
-l1 AS ({top_sql("best", 100)}), l2 AS ({top_sql("ov", 100)}) SELECT * FROM (""" + rrf_sql("l1", "l2") + ") WHERE rank <= 10",
+    "hybrid_search": KEYWORD + f""", tk AS ({top_sql("best", 100)}),
+v AS (SELECT vec_id AS doc_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+vs AS (SELECT * FROM (SELECT a.doc_id AS qid, CAST(row_number() OVER (PARTITION BY a.doc_id ORDER BY round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) DESC, b.doc_id) AS INTEGER) AS rank, b.doc_id
+  FROM v a JOIN v b ON a.doc_id <> b.doc_id WHERE a.doc_id IN (SELECT item_id FROM benchmark)) WHERE rank <= 100)
+SELECT * FROM ({rrf_sql("tk", "vs")}) WHERE rank <= 10""",
     "rerank_fake": KEYWORD + f""", tx AS ({TEXTS}), l1 AS ({top_sql("best", 100)}),
 nw AS (SELECT qid, doc_id, rank AS old, l1.score, CASE WHEN rank <= 30 THEN round({OVERLAP}, 6) END AS new FROM l1
   JOIN (SELECT doc_id, {SPLIT.format(f"substring({TITLE} || '. ' || text, 1, 2000)")} AS b FROM documents) USING (doc_id) JOIN (SELECT qid, {SPLIT.format('qtext')} AS a FROM tx) USING (qid))
@@ -244,14 +253,9 @@ SELECT doc_id, actual, CASE WHEN size > 0 THEN label END AS predicted FROM (SELE
 h AS (SELECT qid, group_id, place, phrase, contains(' ' || lower(qtext) || ' ', ' ' || phrase || ' ') AS inside FROM tx, g),
 f AS (SELECT qid, phrase, min(group_id * 1000 + place) AS ap FROM h WHERE NOT inside AND EXISTS (SELECT 1 FROM h o WHERE o.qid = h.qid AND o.group_id = h.group_id AND o.inside) GROUP BY ALL)
 SELECT qid, place, phrase FROM (SELECT qid, phrase, CAST(row_number() OVER (PARTITION BY qid ORDER BY ap) AS INTEGER) AS place FROM f) WHERE place <= 4""",
-    "spell_suggest": f"""WITH w AS (SELECT DISTINCT unnest(list_slice({WORDS.format('text')}, 1, 3)) AS word FROM documents),
-v AS (SELECT entry FROM (SELECT unnest(list_slice({WORDS.format('text')}, 4, 23)) AS entry FROM documents) GROUP BY entry HAVING count(*) >= 3),
-p AS (SELECT word, entry, levenshtein(word, entry) AS distance, round({JAC.format('word', 'entry')}, 6) AS jaccard FROM w, v
-  WHERE length(word) >= 2 AND word NOT IN (SELECT entry FROM v) AND abs(length(word) - length(entry)) <= 2 AND levenshtein(word, entry) <= CASE WHEN length(word) <= 2 THEN 0 WHEN length(word) <= 4 THEN 1 ELSE 2 END)
-SELECT word, entry AS suggestion, CAST(distance AS INTEGER) AS distance, jaccard FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, jaccard DESC, entry) AS n FROM p WHERE jaccard >= 0.25) WHERE n = 1""",
     "normalize_text": f"SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS normalized, {FOLD.format('text')} AS folded FROM documents",
     "shingle_counts": f"WITH t AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents) SELECT doc_id, CAST(CASE WHEN len(w) >= 5 THEN len(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')))) WHEN len(w) > 0 THEN 1 ELSE 0 END AS BIGINT) AS shingles FROM t",
-    "kgram_similarity": f"WITH t AS (SELECT doc_id, w[1] AS a, w[2] AS b FROM (SELECT doc_id, {WORDS.format('text')} AS w FROM documents) WHERE len(w) > 1) SELECT doc_id, a, b, round({JAC.format('a', 'b')}, 6) AS similarity, CAST(levenshtein(a, b) AS INTEGER) AS distance FROM t",
+    "kgram_similarity": f"WITH w AS (SELECT {FOLDED.format('text')} AS w FROM documents), t AS (SELECT DISTINCT a, b FROM (SELECT unnest(list_slice(w, 1, len(w) - 1)) AS a, unnest(list_slice(w, 2, len(w))) AS b FROM w WHERE len(w) > 1)) SELECT a, b, round({JAC.format('a', 'b')}, 6) AS similarity, CAST(levenshtein(a, b) AS INTEGER) AS distance FROM t",
     "url_parts": f"SELECT page_id, {HOST} AS host, split_part(url, '#', 1) AS bare, coalesce(starts_with(url, 'http') AND ({HOST} = 'example.com' OR ends_with({HOST}, '.example.com')), false) AS in_scope, CASE WHEN contains(split_part(url, '#', 1), '?') THEN NULL ELSE 'pdf' END AS file_type, sha256(url) AS id FROM pages",
     "page_titles": f"SELECT page_id, {PAGE_TITLE} AS title, {PAGE_BODY} AS body, CAST(NULL AS VARCHAR) AS published FROM pages",
     "page_links": r"""WITH l AS (SELECT page_id, url, unnest(tags) AS tag, generate_subscripts(tags, 1) - 1 AS place FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*"[^"]*"[^>]*>.*?</a>') AS tags FROM pages)),
@@ -276,4 +280,22 @@ SELECT path, round(CASE WHEN isinf(le) THEN low ELSE low + (le - low) * (0.95 *
 a AS (SELECT ap, sum(d) AS d, count(*) FILTER (d > 0) AS started, count(*) FILTER (d < 0) AS ended FROM s GROUP BY ap), r AS (SELECT *, date_trunc('hour', ap) AS bucket_start, sum(d) OVER (ORDER BY ap) AS run FROM a)
 SELECT bucket_start, CAST(sum(started) AS BIGINT) AS started, CAST(sum(ended) AS BIGINT) AS ended, CAST(arg_max(run, ap) AS BIGINT) AS in_flight, CAST(max(run) AS BIGINT) AS highest FROM r GROUP BY bucket_start""",
     "uptime": REQ + " SELECT min(ts) AS first, max(ts) AS last, epoch_us(max(ts)) - epoch_us(min(ts)) AS micros FROM req",
+    "segment_text": f"SELECT doc_id, {SEGMENTED.format('text')} AS segmented FROM documents",
+    "segmented_multifield": "WITH" + fields_sql("title", "content", f"list_filter(string_split({SEGMENTED}, ' '), lambda x: x <> '')")
+    + f", q AS (SELECT item_id AS qid, unnest(list_filter(string_split({SEGMENTED.format('text')}, ' '), lambda x: x <> '')) AS term FROM benchmark), qt AS (SELECT DISTINCT qid, term FROM q)" + scores_sql() + BEST + top_sql("best", 10),
+    "anchor_search": "WITH" + SEG.replace("fields AS (", f"fields AS (SELECT doc_id, 'anchor' AS field, {WORDS.format('anchor_text')} AS toks FROM ({ANCHORS}) UNION ALL ", 1)
+    + ", qt(qid, term) AS (VALUES (0::BIGINT, 'good'), (0, 'the'), (1, 'page'), (1, 'worthless'))" + scores_sql(boosts={"title": 2.0, "content": 1.0, "anchor": 1.5}) + BEST + top_sql("best", 50),
+    "link_fields": f"SELECT doc_id, lang, CASE WHEN n_chars > 500 THEN 1.0::DOUBLE / (1 + n_chars) ELSE 0 END AS pagerank, CASE WHEN trim(anchor_text) <> '' THEN anchor_text END AS anchor_text, CASE WHEN trim(anchor_text) <> '' THEN trim(lower(anchor_text)) END AS anchor_text_seg FROM documents LEFT JOIN ({ANCHORS}) USING (doc_id)",
+    "dup_group_update": "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS dup_group FROM documents",
+    "overwrite_result": f"SELECT doc_id, lang, line FROM ({BULK}) WHERE n = 1 UNION ALL SELECT doc_id, lang, 0::BIGINT FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({BULK}))",
+    "overwrite_report": "SELECT count(*) FILTER (doc_id % 7 <> 3) AS ok, count(*) FILTER (doc_id % 7 = 3) AS failed, 'row ' || min(doc_id) FILTER (doc_id % 7 = 3) || ': no doc_id' AS first_error FROM labels",
+    "limited_files": "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 25",
+    "model_texts": f"SELECT doc_id, substring({TITLE} || '. ' || text, 1, 2000) AS rerank, substring({TITLE} || ' ' || lower(text), 1, 2000) AS embed, CAST(least(length(text), 4000) AS INTEGER) AS service_chars FROM documents",
+    "dictionary_vocabulary": f"SELECT item_id AS line, place, entry FROM (SELECT entry, item_id, CAST(place AS INTEGER) AS place, row_number() OVER (PARTITION BY entry ORDER BY item_id, place) AS n FROM (SELECT item_id, unnest({WORDS.format('text')}) AS entry, generate_subscripts({WORDS.format('text')}, 1) - 1 AS place FROM benchmark)) WHERE n = 1",
 }
+
+ORACLES["category_update"] = f"SELECT doc_id, predicted AS category FROM documents LEFT JOIN ({ORACLES['nb_predict']}) USING (doc_id)"
+ORACLES["crawl_counters"] = f"""SELECT status AS counter, pages AS n FROM ({ORACLES['change_counts']}) UNION ALL SELECT 'edges', count(*) FROM ({ORACLES['page_links']})
+UNION ALL SELECT 'files', count(*) FROM ({ORACLES['page_links']}) WHERE regexp_matches(lower(split_part(link, '?', 1)), '\\.(pdf|docx?|xlsx?|pptx?)$')"""
+ORACLES["highlight_safe"] = f"""SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(snippet, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;'), '&lt;em&gt;', '<em>'), '&lt;/em&gt;', '</em>') AS snippet
+FROM ({ORACLES['snippet_highlight']})"""

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from skarn.operators import ranking as R
 from skarn.operators.index import Index
 
-TITLE, CONTENT = 2.0, 1.0
+TITLE, CONTENT, ANCHOR = 2.0, 1.0, 1.5
 FOLDED_BOOST, PHRASE_TITLE, PHRASE_CONTENT = 0.8, 4.0, 2.0
 INT_MAX = 2**31 - 1
 
@@ -142,7 +142,7 @@ class _Parser:
         return Terms(tuple(self.segment(text)) or tuple(text.lower().split()))
 
 
-def parse(raw: str, segment: Callable[[str], list[str]] = lambda s: re.findall("[a-z]+", s.lower())):
+def parse(raw: str, segment: Callable[[str], list[str]] = lambda s: re.findall(r"[^\W_]+", s.lower())):
     """The tree of a structured query, or the terms of a simple one."""
     if not raw or not raw.strip():
         raise QueryError("the query is blank")
@@ -166,7 +166,7 @@ def compile_tree(tree, index: Index, by: str = "bm25") -> DataFrame:
     all other documents with score 0.
     """
     spark = index.fields.sparkSession
-    boosts = {"title": TITLE, "content": CONTENT}
+    boosts = {"title": TITLE, "content": CONTENT, "anchor": ANCHOR}
     if isinstance(tree, Terms):
         scores = R.best_field(R.field_scores(index, _rows(spark, tree.words), boosts, by, require_all=True))
         return scores.select("doc_id", "score")
@@ -196,7 +196,7 @@ def compile_tree(tree, index: Index, by: str = "bm25") -> DataFrame:
 def simple_search(segmented: Index, folded: Index, terms: DataFrame, folded_terms: DataFrame, by: str = "bm25") -> DataFrame:
     """(qid, doc_id, score) of simple queries: the sum of the segmented and folded best fields and the folded phrase
     (slop 1); one must match. terms and folded_terms have (qid, off, term)."""
-    a = R.best_field(R.field_scores(segmented, terms, {"title": TITLE, "content": CONTENT}, by))
+    a = R.best_field(R.field_scores(segmented, terms, {"title": TITLE, "content": CONTENT, "anchor": ANCHOR}, by))
     b = R.best_field(R.field_scores(folded, folded_terms, {"title_folded": 1.5, "content_folded": 1.0}, by)).withColumn("score", F.col("score") * FOLDED_BOOST)
     c = R.phrase_scores(folded, folded_terms, {"title_folded": PHRASE_TITLE, "content_folded": PHRASE_CONTENT}, 1)
     return R.add_scores(a, b, c)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,3 +40,28 @@ def read_table(spark: SparkSession, path: str, schema: str, format: str = "parqu
     if wrong:
         raise ValueError(f"columns missing or of another type: {', '.join(wrong)}")
     return df.select(*want.names)
+
+
+def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows in an order; 0 or less means all."""
+    return df.orderBy(*order).limit(n) if n > 0 else df
+
+
+MOST_CHARACTERS = 2_000_000
+
+
+def extracted(spark: SparkSession, path: str, extract: Callable[[bytes], str | None], most: int = MOST_CHARACTERS) -> DataFrame:
+    """(path, text) of the binary files below path: what extract(bytes) gives, white space collapsed, at most ``most`` characters; an
+    error or null gives an empty text."""
+
+    @F.pandas_udf("string")
+    def run(content: pd.Series) -> pd.Series:
+        def one(data: bytes | None) -> str:
+            try:
+                return " ".join((extract(bytes(data or b"")) or "").split())[:most]
+            except Exception:  # one broken file is no reason to lose the others
+                return ""
+
+        return content.map(one)
+
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", run("content").alias("text"))

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skarn.functions import text as X
 from skarn.api import EngineConfig, SearchEngine, as_bool
 from skarn.operators.models import embedder, hashed_vector
 from skarn.plans.query import QueryError
@@ -54,3 +55,23 @@ def test_models(spark):
     df = spark.createDataFrame([("a",), (None,)], "t string")
     assert df.select(embedder(lambda texts: 1 / 0)(F.col("t")).alias("v")).where("v is not null").count() == 0
     assert as_bool("Yes") and not as_bool(None)
+
+
+def test_segmented_vietnamese_with_anchors_and_a_stored_index(spark, tmp_path):
+    rows = [
+        (1, "Đại học Bách khoa\nTrường đại học ở Hà Nội tuyển sinh", "https://a.vn/1", "html", "tuyển sinh"),
+        (2, "Thư viện\nsinh viên học đại số ở thư viện", "https://a.vn/2", "html", " "),
+        (3, "Tin tức\nlịch học của sinh viên", "https://b.vn/3", "pdf", "đại học"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, url string, doc_type string, anchor_text string")
+    segment = X.segmenter(["đại học", "sinh viên", "thư viện", "tuyển sinh", "Hà Nội"], ["của", "ở"])
+    engine = SearchEngine(docs, segment=segment)
+    for e in (engine, engine.stored(str(tmp_path))):
+        found = e.search("đại học").results.collect()
+        # the compound is one word: 2 has "học đại" but no "đại học"; 1 and 3 are found by it, 2 only by its folded words
+        assert [r.doc_id for r in found][:2] == [1, 3] and found[0].url == "https://a.vn/1"
+        assert {r.doc_id for r in e.search('"đại học"').results.collect()} == {1}
+        assert {r.doc_id for r in e.search('"sinh viên" AND NOT lịch').results.collect()} == {2}
+        assert e.search("SINH  VIÊN").total >= 2
+    assert engine.docs.select(segment(F.lit("Trường Đại học của Hà Nội, 2024!"))).first()[0] == "trường đại_học hà_nội 2024"
+    assert docs.select(X.cleaned_segments(F.lit("Trường Đại_học , của !"), ["của"])).first()[0] == "trường đại_học"
