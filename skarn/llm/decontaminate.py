@@ -6,14 +6,16 @@ longest item, each half overlapping the next, so every item-long stretch lies wh
 into blocks; each term knows its largest impact in each block. For all passages of a batch at once, the sums of
 block maxima rule out blocks that cannot reach the threshold; in the blocks that remain, WAND moves cursors over the
 postings, skips by the sum of the maxima, and scores the items it cannot rule out. All items above the threshold are
-verified: of the item's question (all sentences but the last) and answer (the last; of an item of one sentence, the
-last third of its words), shares of the words that occur in the passage in order must both reach ``least_overlap``.
+verified in the stretch of the passage that has most of their words and is at most SPREAD times as long as the item and SLACK words: of the
+item's question (all sentences but the last) and answer (the last; of an item of one sentence, the last third of its words), shares of
+the words that occur there in order must both reach ``least_overlap``. Items of fewer than SHORT words must stand there word for word.
 
-The index goes to the tasks; items beyond ``block_items`` are searched in further passes, so its size is bounded
-(document frequencies are then those of the pass). Documents are scanned whole and never shuffled.
+The index goes to the tasks; items beyond ``block_items`` are searched in further passes, so its size is bounded.
+Document frequencies, mean and greatest length are those of all items in every pass, so results don't depend on the passes; they
+are gathered in one stream over the items. Documents are scanned whole and never shuffled.
 
-Defined results: null and empty texts match nothing; items without words match nothing; equal items are all
-reported; repeated documents are reported each; with no items the result is empty; other columns are not read.
+Defined results: null and empty texts match nothing; items with fewer than LEAST words are no evidence and match nothing; items with a null id
+are reported with it; equal items are all reported; repeated documents are reported each; with no items the result is empty; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from skarn.functions.runtime import map_arrow
 
@@ -38,6 +41,9 @@ K1, B = 1.2, 0.75
 BLOCK = 4
 #: Terms in more than this share of the items have their block maxima in a dense table.
 COMMON = 0.1
+#: Items of fewer words than these match nothing, or must stand word for word.
+LEAST, SHORT = 3, 8
+SPREAD, SLACK = 1.5, 8
 SLICE = 1 << 20
 FLUSH = 200_000
 
@@ -71,6 +77,45 @@ def in_order(part: list[str], passage: list[str]) -> float:
     return (len(part) - state.bit_count()) / len(part)
 
 
+def densest(passage: list[str], wanted: set[str], size: int) -> list[str]:
+    """The first stretch of ``size`` words that has most of the wanted ones."""
+    hits = np.concatenate(([0], np.cumsum([w in wanted for w in passage])))
+    if len(passage) <= size:
+        return passage
+    at = int((hits[size:] - hits[:-size]).argmax())
+    return passage[at : at + size]
+
+
+def overlaps(parts: tuple[list[str], list[str]], passage: list[str]) -> list[float]:
+    """Shares of question and answer that the passage has."""
+    item = parts[0] + parts[1]
+    if len(item) < SHORT:
+        found = any(passage[i : i + len(item)] == item for i, w in enumerate(passage) if w == item[0])
+        return [float(found)] * 2
+    near = densest(passage, set(item), int(SPREAD * len(item)) + SLACK)
+    return [in_order(x, near) for x in parts]
+
+
+@dataclass
+class Totals:
+    """Statistics of all items."""
+
+    items: int
+    mean: float
+    longest: int
+    df: Counter
+
+
+def totals(texts: Iterator[str]) -> Totals:
+    df, n, words_held, longest = Counter(), 0, 0, 1
+    for text in texts:
+        said = words(text)
+        if len(said) >= LEAST:
+            df.update(set(said))
+            n, words_held, longest = n + 1, words_held + len(said), max(longest, len(said))
+    return Totals(n, words_held / max(1, n) or 1.0, longest, df)
+
+
 @dataclass
 class Index:
     item_ids: list
@@ -86,16 +131,15 @@ class Index:
     n_blocks: int
 
 
-def build_index(items: list[tuple[object, str]]) -> Index:
+def build_index(items: list[tuple[object, str]], of: Totals | None = None) -> Index:
+    of = of or totals(t or "" for _, t in items)
     parts = [question_and_answer(t or "") for _, t in items]
     bags = [Counter(q + a) for q, a in parts]
-    df = Counter(w for bag in bags for w in bag)
-    n, sizes = len(items), [sum(b.values()) for b in bags]
-    mean = sum(sizes) / max(1, n) or 1.0
-    terms = {w: i for i, w in enumerate(df)}
+    df, mean, n, sizes = of.df, of.mean, len(items), [sum(b.values()) for b in bags]
+    terms = {w: i for i, w in enumerate(dict.fromkeys(w for bag in bags for w in bag))}
     postings: list[list[tuple[int, float]]] = [[] for _ in terms]
     for i, bag in enumerate(bags):
-        weight = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[i] / mean)) for w, tf in bag.items()}
+        weight = {w: math.log(1 + (of.items - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[i] / mean)) for w, tf in bag.items()}
         total = sum(weight.values())
         for w, x in weight.items():
             postings[terms[w]].append((i, x / total))
@@ -114,7 +158,7 @@ def build_index(items: list[tuple[object, str]]) -> Index:
             block_of += best
             block_most += best.values()
         block_at.append(len(block_of))
-    return Index([i for i, _ in items], parts, terms, postings, common, dense, np.array(block_of, np.int64), np.array(block_most), np.array(block_at), max([1, *sizes]), n_blocks)
+    return Index([i for i, _ in items], parts, terms, postings, common, dense, np.array(block_of, np.int64), np.array(block_most), np.array(block_at), of.longest, n_blocks)
 
 
 def wand(index: Index, terms: list[int], block: int, least: float) -> list[tuple[int, float]]:
@@ -221,7 +265,7 @@ class Matcher:
             for p, block in zip(*(x.tolist() for x in survivors(self.index, passage, term, len(self.passages), self.least_score))):
                 doc, said, at = self.passages[p]
                 for item, score in wand(self.index, term[edges[p] : edges[p + 1]].tolist(), block, self.least_score):
-                    shares = [in_order(x, said[at : at + 2 * self.step]) for x in self.index.parts[item]]
+                    shares = overlaps(self.index.parts[item], said[at : at + 2 * self.step])
                     if min(shares) >= self.least_overlap:
                         best[doc, item] = max(best.get((doc, item), (0.0, 0.0, 0.0)), (score, *shares))
         self.clear()
@@ -237,20 +281,20 @@ def contaminated(
     with_words = items.where(F.col(item_text).isNotNull()).select(item_id, item_text)
     passes = max(1, -(-with_words.count() // block_items))
     part = F.pmod(F.xxhash64(item_text), F.lit(passes))
-    out = None
+    every, out = totals(r[0] for r in with_words.select(item_text).toLocalIterator()), None
     for k in range(passes):
-        rows = [r for r in map(tuple, with_words.where(part == k).orderBy(item_id, item_text).collect()) if words(r[1])]
-        found = _one_pass(docs, build_index(rows), least_score, least_overlap, schema, id_col, text_col) if rows else docs.sparkSession.createDataFrame([], schema)
+        rows = [r for r in map(tuple, with_words.where(part == k).orderBy(item_id, item_text).collect()) if len(words(r[1])) >= LEAST]
+        found = _one_pass(docs, build_index(rows, every), to_arrow_type(items.schema[item_id].dataType), least_score, least_overlap, schema, id_col, text_col) if rows else docs.sparkSession.createDataFrame([], schema)
         out = found if out is None else out.union(found)
     return out
 
 
-def _one_pass(docs: DataFrame, index: Index, least_score: float, least_overlap: float, schema: str, id_col: str, text_col: str) -> DataFrame:
+def _one_pass(docs: DataFrame, index: Index, item_type: pa.DataType, least_score: float, least_overlap: float, schema: str, id_col: str, text_col: str) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, matcher, item_type = shared.value, Matcher(shared.value, least_score, least_overlap), None
+        index, matcher = shared.value, Matcher(shared.value, least_score, least_overlap)
         for b in batches:
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
             for i, text in enumerate(b.column(1)):
@@ -260,8 +304,7 @@ def _one_pass(docs: DataFrame, index: Index, least_score: float, least_overlap:
             matcher.flush(best)
             rows = sorted(best)
             values = [best[r] for r in rows]
-            item_type = pa.array([index.item_ids[0]]).type
             columns = [b.column(0).take(pa.array([d for d, _ in rows], pa.int64())), pa.array([index.item_ids[i] for _, i in rows], item_type)]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([v[k] for v in values], pa.float64()) for k in range(3))], names=names)
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([round(v[k], 9) for v in values], pa.float64()) for k in range(3))], names=names)
 
     return map_arrow(docs.select(id_col, text_col), run, schema)

@@ -387,6 +387,21 @@ def test_decontamination_matches_brute_force(spark):
     assert decontaminate.contaminated(docs_of(spark, []), frame).count() == 0
 
 
+def test_decontamination_is_the_same_in_any_number_of_passes(spark):
+    items = [(i, t + ". " + u + ".") for i, (t, u) in enumerate(zip(texts(30, 7, 20), texts(30, 8, 12)))]
+    items += [(30, "alpha beta?"), (31, "gamma delta. Epsilon zeta."), (32, "truth"), (None, "rare words without any id stand here now. Seldom seen."), (33, " ".join(texts(1, 20, 400)))]
+    rows = [(i, f"{t} {items[i][1]} {t}") for i, t in enumerate(texts(30, 9, 200))]
+    scattered = items[3][1].split()
+    rows += [(50, " ".join(f"{w} {x} {y} {z}" for w, x, y, z in zip(scattered, *(texts(3, 77, 400)[k].split() * 20 for k in range(3))))), (51, "the truth is told"), (52, "so gamma delta epsilon zeta it is"), (53, "gamma eta delta epsilon zeta"), (54, items[33][1])]
+    frame = spark.createDataFrame(items, "item_id int, text string")
+    found = []
+    for size in (7, 20_000):
+        found.append(sorted(map(str, decontaminate.contaminated(docs_of(spark, rows), frame, block_items=size).collect())))
+    assert found[0] == found[1]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs_of(spark, rows), frame).collect()}
+    assert got == {(i, i) for i in range(30)} | {(52, 31), (54, None)}  # items[33] is the one with a null id
+
+
 # --- HTML
 
 
