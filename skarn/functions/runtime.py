@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parents[1]
 
@@ -61,5 +62,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: A key with more rows than this, and than a HOT_SHARE of all, is joined by broadcast: fewer than HOT_SHARE keys can have so many.
+HOT_ROWS, HOT_SHARE = 1_000, 50_000
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """left join right on key, where right has one row for each key with the number of its rows in left (column count), of ``total`` in all. Hot keys are
+    taken out of the shuffle: their rows of right, of which there are at most HOT_SHARE whatever the data, are broadcast, so no task holds a hot
+    key's rows of left together. left should be cheap to read twice."""
+    least = max(HOT_ROWS, total // HOT_SHARE)
+    hot = cut(right.where(F.col(count) > least)) if total > HOT_ROWS else None
+    if hot is None or hot.isEmpty():
+        return left.join(right, key)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col(count) <= least), key)
+    return left.join(F.broadcast(hot), key).select(*rest.columns).union(rest)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from skarn.functions import text as X
 from skarn.functions import urls as U
+from skarn.functions.runtime import join_counted
 from skarn.operators import classify, evaluation, expansion, graph, index, ingest, neardup, telemetry
 from skarn.operators import ranking as R
 from skarn.operators.components import connected_components
@@ -152,6 +153,13 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_join_counted_takes_hot_keys_apart(spark):
+    left = spark.createDataFrame([(i, i if i % 3 else -1) for i in range(4000)], "row long, k long")
+    right = left.groupBy("k").agg(F.count("*").alias("n"), F.max("row").alias("top"))
+    got, want = (sorted(df.select("row", "k", "top").collect()) for df in (join_counted(left, right, "k", "n", 4000), left.join(right, "k")))
+    assert got == want and len(got) == 4000
+
+
 def test_minhash(spark):
     a, b = neardup.coefficients(256, 7)
     x, y = [f"t{i}" for i in range(1, 101)], [f"t{i}" for i in range(50, 151)]
