@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.functions.runtime import cut, map_arrow, shuffle_partitions
+from skarn.functions.runtime import cut, join_counted, map_arrow, shuffle_partitions
 from skarn.operators.components import connected_components
 
 SEED = 42
@@ -174,9 +174,11 @@ def near_duplicate_groups(docs: DataFrame, width: int = 4, max_distance: int = 4
     """(doc_id, fingerprint, component_id) of every document; component_id is the smallest doc_id reachable."""
     marked = cut(fingerprints(docs, width, id_col, text_col))
     # of each fingerprint only its smallest doc_id goes on
-    distinct = cut(marked.groupBy("fp").agg(F.min(id_col).alias("first")))
-    labels = connected_components(fingerprint_links(distinct, max_distance, n_segments))
-    placed = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    least = placed.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = placed.join(least, "component").select("fp", "component_id")
-    return marked.join(named, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    distinct = cut(marked.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("n")))
+    labels = connected_components(fingerprint_links(distinct, max_distance, n_segments)).withColumnRenamed("node", "fp")
+    # only fingerprints with a link need a look at their component
+    linked = cut(distinct.join(labels, "fp").select("fp", "first", "component"))
+    least = linked.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("members"))
+    of = join_counted(linked, least, "component", "members", linked.count()).select("fp", "component_id")
+    named = cut(distinct.join(of, "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id")))
+    return join_counted(marked, named, "fp", "n", marked.count()).select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
