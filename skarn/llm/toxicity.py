@@ -54,7 +54,7 @@ SPACED = re.compile(r"(?<!\S)(?:\S\s{1,3}){2,}\S(?!\S)")
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
 INSERTED = ".-*_"
 #: A unit can be drawn as a landmark if it stands in so many toxic texts and its chi-square is so large.
-LEAST_TEXTS, LEAST_CHI_SQUARE = 3, 6.6
+LEAST_TEXTS, LEAST_CHI_SQUARE = 3, 10.0
 #: Landmarks are drawn until they leave less than this share of all odds uncovered.
 COVERED = 0.005
 #: A span that stands around another in this share of its texts nearly always does.
