@@ -7,10 +7,11 @@ an id that begins a word has its share of the class, one that goes on with a wor
 shares are counted over all training texts (the ``pairs`` most frequent pairs of ids, the others by the class alone), so the odds of
 all next ids sum to one.
 
-Weights are trained in numpy, by tasks: every training text gives a window, and one more for each WINDOW_WORDS
-words. Windows are dealt into ROUNDS rounds, a round's into trainers of about ``trainer_windows`` each; all begin with the
-weights of the round before, take Adam steps over their own windows (again and again up to LEAST_STEPS where they are few), and
-their weights are averaged. The number of trainers grows with the corpus, the driver holds one set of weights. Scoring runs over
+Weights are trained in numpy, by tasks, on every token of every training text, copies included. Texts are cut into pieces, which
+bring the ids before them along, and a piece into windows as in scoring. Pieces are dealt into ROUNDS rounds by hash, a round's into
+trainers of about ``trainer_windows`` windows each; all begin with the weights of the round before, take Adam steps over their own
+windows (again and again up to LEAST_STEPS where they are few), and their weights are averaged. The number of trainers grows with
+the corpus, the driver holds one set of weights. The classes come from the neighbours of all ids in all pieces. Scoring runs over
 overlapping windows in batches with a causal mask; each token is scored once, by the window in which it has
 the longer context. Contexts start anew every SEGMENT words of a very long text.
 
@@ -38,6 +39,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,14 +57,17 @@ BOUND = 60.0
 SUBWORDS = 50_257  # ids of the public vocabulary
 SPACE_MARK = b" "
 SEGMENT = 1 << 16
-WINDOW_WORDS = 96
-ROUNDS, LEAST_STEPS, BATCH = 5, 120, 96
+#: Targets of a piece of a training text.
+PIECE = 64 * STRIDE
+ROUNDS, LEAST_STEPS = 5, 120
+#: Windows of a step; a trainer with more windows takes more at once.
+BATCH, MOST_BATCH = 96, 512
 #: How much a class's own shares count against those after one id.
 BACK_OFF = 2.0
 END = b""  # stands for the end token among words, which are never empty
 FLUSH_WORDS = 300_000
-#: Rows of windows that go to the driver to group the ids by their neighbours.
-GROUPING_WINDOWS = 8_000
+#: The most frequent ids, whose places beside an id tell its class.
+NEAR = 128
 _SPELLED: dict[str, dict[bytes, tuple[list[int], float]]] = {}
 
 
@@ -204,44 +209,68 @@ def initial_weights(size: int, seed: int = 7) -> dict[str, np.ndarray]:
 def gradient(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean cross-entropy of the classes y (-1: none) at the scored positions of windows x."""
     scale, back = DIMENSIONS**-0.5, np.maximum(np.arange(CONTEXT, WINDOW)[:, None] - np.arange(WINDOW)[None, :], 0)
-    e = p["e"][x]
-    mine, own = e[:, CONTEXT:], y >= 0
-    q, k, v = mine @ p["q"] * scale, e @ p["k"], e @ p["v"]
-    a = np.exp(np.clip(q @ k.transpose(0, 2, 1), -BOUND, BOUND)) * causal_mask(p["r"])
-    a /= a.sum(-1, keepdims=True)
-    z = a @ v
-    logits = z @ p["o"] + mine @ p["u"] + p["c"]
-    logits -= logits.max(-1, keepdims=True)
-    g = np.exp(logits)
-    g /= g.sum(-1, keepdims=True)
-    at = np.maximum(y, 0)[..., None]
-    np.put_along_axis(g, at, np.take_along_axis(g, at, -1) - 1, -1)
-    g *= own[..., None] / max(1, own.sum())
     flat = lambda t: t.reshape(-1, t.shape[-1])
-    dz = g @ p["o"].T
-    da = dz @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(-1, keepdims=True))
-    dv, dq, dk = a.transpose(0, 2, 1) @ dz, ds @ k * scale, ds.transpose(0, 2, 1) @ q
-    de = dk @ p["k"].T + dv @ p["v"].T
-    de[:, CONTEXT:] += g @ p["u"].T + dq @ p["q"].T
-    grad = {"o": flat(z).T @ flat(g), "u": flat(mine).T @ flat(g), "c": flat(g).sum(0), "q": flat(mine).T @ flat(dq), "k": flat(e).T @ flat(dk), "v": flat(e).T @ flat(dv), "r": np.bincount(back.reshape(-1), ds.sum(0).reshape(-1), WINDOW)}
-    ids, place = np.unique(x, return_inverse=True)
-    order = np.argsort(place.reshape(-1), kind="stable")
+    d, own = DIMENSIONS, y >= 0
+    # products of the same rows are one: of every id its key and value, of a scored one its query and what it gives to the logits by itself
+    kv, qu = np.concatenate((p["k"], p["v"]), 1), np.concatenate((p["q"] * p["q"].dtype.type(scale), p["u"]), 1)
+    e = p["e"].take(x, axis=0)
+    flat_e, mine = flat(e), flat(np.ascontiguousarray(e[:, CONTEXT:]))
+    both, first = (flat_e @ kv).reshape(*x.shape, 2 * d), mine @ qu
+    k, v, q = both[..., :d], both[..., d:], first[:, :d].reshape(*y.shape, d)
+    a = q @ k.transpose(0, 2, 1)
+    np.exp(np.clip(a, -BOUND, BOUND, out=a), out=a)
+    a *= causal_mask(p["r"])
+    a /= np.einsum("bij->bi", a)[..., None]
+    z = flat(a @ v)
+    g = z @ p["o"]
+    g += first[:, d:]
+    g += p["c"]
+    np.exp(np.clip(g, -BOUND, BOUND, out=g), out=g)
+    g /= np.einsum("ij->i", g)[:, None]
+    g[np.arange(y.size), np.maximum(y, 0).reshape(-1)] -= 1
+    g *= (own.reshape(-1) / max(1, own.sum())).astype(g.dtype)[:, None]
+    dz = (g @ p["o"].T).reshape(*y.shape, d)
+    ds = dz @ v.transpose(0, 2, 1)
+    ds -= np.einsum("bij,bij->bi", ds, a)[..., None]
+    ds *= a
+    dqu, dkv = np.empty_like(first), np.empty_like(both)
+    dqu[:, :d], dqu[:, d:] = flat(ds @ k), g
+    np.matmul(ds.transpose(0, 2, 1), q, out=dkv[..., :d])
+    np.matmul(a.transpose(0, 2, 1), dz, out=dkv[..., d:])
+    de = (flat(dkv) @ kv.T).reshape(e.shape)
+    de[:, CONTEXT:] += (dqu @ qu.T).reshape(*y.shape, d)
+    of_kv, of_qu = flat_e.T @ flat(dkv), mine.T @ dqu
+    grad = {"o": z.T @ g, "u": of_qu[:, d:], "c": g.sum(0), "q": of_qu[:, :d] * scale, "k": of_kv[:, :d], "v": of_kv[:, d:], "r": np.bincount(back.reshape(-1), ds.sum(0).reshape(-1), WINDOW)}
+    order = np.argsort(x.astype(np.uint16).reshape(-1), kind="stable")
+    ids = x.reshape(-1)[order]
+    new = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
     grad["e"] = np.zeros_like(p["e"])
-    grad["e"][ids] = np.add.reduceat(flat(de)[order], np.searchsorted(place.reshape(-1)[order], np.arange(ids.size)), axis=0)
+    grad["e"][ids[new]] = np.add.reduceat(flat(de).take(order, axis=0), new, axis=0)
     return grad
 
 
-def descend(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, rate: float, seed: int) -> dict[str, np.ndarray]:
-    """Weights after Adam steps over all these windows, in passes up to LEAST_STEPS steps at least."""
+def gradient_of(p: dict[str, np.ndarray], rows: np.ndarray, group: np.ndarray) -> dict[str, np.ndarray]:
+    """``gradient`` over windows (rows of model ids), by parts that a processor's cache holds."""
+    total, seen = {k: np.zeros_like(v) for k, v in p.items()}, 0
+    for at in range(0, len(rows), BATCH):
+        x, y = examples(rows[at : at + BATCH], group)
+        n = int((y >= 0).sum())
+        for k, g in gradient(p, x, y).items():
+            total[k] += g.astype(np.float32) * np.float32(n)
+        seen += n
+    return {k: g / np.float32(max(1, seen)) for k, g in total.items()}
+
+
+def descend(p: dict[str, np.ndarray], rows: np.ndarray, group: np.ndarray, rate: float, seed: int) -> dict[str, np.ndarray]:
+    """Weights after Adam steps over all these windows (rows of model ids), in passes up to LEAST_STEPS steps at least."""
     p, rng, step = dict(p), np.random.default_rng(seed), 0
     mean, square = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+    batch = min(MOST_BATCH, max(BATCH, len(rows) // LEAST_STEPS))
     while step < LEAST_STEPS:
-        order = rng.permutation(len(x))
-        for at in range(0, len(x), BATCH):
+        order = rng.permutation(len(rows))
+        for at in range(0, len(rows), batch):
             step += 1
-            some = order[at : at + BATCH]
-            for n, gr in gradient(p, x[some], y[some]).items():
+            for n, gr in gradient_of(p, rows[order[at : at + batch]], group).items():
                 mean[n] = 0.9 * mean[n] + 0.1 * gr
                 square[n] = 0.99 * square[n] + 0.01 * gr * gr
                 p[n] = (p[n] - rate * (mean[n] / (1 - 0.9**step)) / (np.sqrt(square[n] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
@@ -272,20 +301,35 @@ def _clusters(points: np.ndarray, weight: np.ndarray, n: int, rng: np.random.Gen
     return label
 
 
+def near_columns(counts: np.ndarray) -> np.ndarray:
+    """Of each model id its column among the NEAR most frequent, or -1."""
+    column = np.full(counts.size, -1)
+    near = np.argsort(-counts, kind="stable")[:NEAR]
+    column[near] = np.arange(near.size)
+    return column
+
+
+def count_sides(a: np.ndarray, b: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Of each model id a row with how often the near ids stand right of it, then left of it; b stand right of a."""
+    near = min(NEAR, column.size)
+    out = np.zeros(column.size * 2 * near, np.int64)
+    for own, other, shift in ((a, b, 0), (b, a, near)):
+        c = column[other]
+        out += np.bincount((own.astype(np.int64) * (2 * near) + c + shift)[c >= 0], minlength=out.size)
+    return out.reshape(column.size, 2 * near)
+
+
 def group_ids(windows: np.ndarray, begins: np.ndarray, seed: int = 7) -> np.ndarray:
-    """Classes of model ids by k-means over what stands left and right of them in windows (rows of model ids); those that begin words and
-    the others apart. begins tells them, of each model id."""
+    """Classes of model ids by what stands left and right of them in windows (rows of model ids)."""
+    counts = np.bincount(windows.reshape(-1), minlength=begins.size)
+    return group_sides(count_sides(windows[:, :-1].reshape(-1), windows[:, 1:].reshape(-1), near_columns(counts)), counts, begins, seed)
+
+
+def group_sides(sides: np.ndarray, counts: np.ndarray, begins: np.ndarray, seed: int = 7) -> np.ndarray:
+    """Classes of model ids by k-means over ``count_sides``; those that begin words and the others apart. begins tells them, of each
+    model id."""
     size, rng = begins.size, np.random.default_rng(seed)
-    counts = np.bincount(windows.reshape(-1), minlength=size)
-    near = min(128, size)
-    column = np.full(size, -1)
-    column[np.argsort(-counts, kind="stable")[:near]] = np.arange(near)
-    sides = np.zeros((size, 2 * near), np.float32)
-    a, b = windows[:, :-1].reshape(-1), windows[:, 1:].reshape(-1)
-    for own, other, shift in ((a, b, 0), (b, a, near)):
-        ok = column[other] >= 0
-        np.add.at(sides, (own[ok], column[other[ok]] + shift), 1)
-    sides = np.sqrt(sides / np.maximum(1, sides.sum(1, keepdims=True)))
+    sides = np.sqrt(sides / np.maximum(1, sides.sum(1, keepdims=True))).astype(np.float32)
     u, s, _ = np.linalg.svd(sides - sides.mean(0), full_matrices=False)
     points, weight = u[:, :16] * s[:16], np.log1p(counts)
     label = np.zeros(size, np.int64)
@@ -349,19 +393,19 @@ def at_least(df: DataFrame, count: str, most: int) -> int:
     return math.ceil(2 ** (low / 16) - 1e-9) if low is not None else 1 << 62
 
 
-def vocabulary_of(windows: np.ndarray, frequent: np.ndarray, pairs: DataFrame, most_pairs: int) -> Vocabulary:
-    """windows: rows of model ids by ``frequent`` (public ids, most frequent first)."""
-    starts = begins_word()
+def model_ids(frequent: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The model id of each public id."""
     to = np.where(starts, 2, 3)
     to[frequent] = 4 + np.arange(frequent.size)
-    kinds = np.concatenate(([True, True, True, False], starts[frequent]))
-    group = group_ids(windows, kinds)
+    return to
+
+
+def vocabulary_of(to: np.ndarray, group: np.ndarray, often: np.ndarray, pairs: DataFrame, most_pairs: int) -> Vocabulary:
+    """often: counts of the public ids."""
     begins = np.zeros(CLASSES, bool)
     begins[[*range(BEGIN), CLASSES - 3, CLASSES - 2]] = True
     kept = pairs.where((F.col("before") >= 0) & (F.col("n") >= at_least(pairs.where("before >= 0"), "n", most_pairs))).collect()
-    often = np.full(SUBWORDS, 0.1)
-    for i, n in pairs.groupBy("id").agg(F.sum("n")).collect():
-        often[i] += n
+    often = often + 0.1
     of = group[to]
     shares = np.log(often / np.bincount(of, often, CLASSES)[of])
     code = np.array([r[0] * SUBWORDS + r[1] for r in kept], np.int64)
@@ -379,47 +423,92 @@ def begins_word() -> np.ndarray:
     return out
 
 
-def training_windows(training: DataFrame, frequent: np.ndarray, starts: np.ndarray, text_col: str) -> DataFrame:
-    """(at, x): of every text a window of CONTEXT + STRIDE + 1 model ids, and one more for each WINDOW_WORDS words, at places by hash; ``at``
-    is the window's hash; equal windows count once. Padding ahead is the text's start, what is behind the end is not learnt."""
+def text_ids(texts: list[list[bytes]]) -> list[np.ndarray]:
+    """The public ids of texts, each a list of words, spelled word by word."""
+    out = [np.zeros(0, np.int64)] * len(texts)
+    joined = [b" ".join(t) for t in texts]
+    odd = [bool(ODD_SPACE.search(j.decode("utf-8", "replace"))) for j in joined]
+    plain = [i for i, t in enumerate(texts) if t and not odd[i]]
+    if plain:
+        ids, length = public_ids([joined[i] for i in plain])
+        for i, own in zip(plain, np.split(ids, np.cumsum(length)[:-1])):
+            out[i] = own
+    for i, t in enumerate(texts):
+        if odd[i]:
+            out[i] = public_ids(t)[0]
+    return out
+
+
+def training_pieces(training: DataFrame, to: np.ndarray, key: str = "u", text_col: str = "text") -> DataFrame:
+    """(at, n, x): every text's model ids and its end in pieces of PIECE targets, each behind the CONTEXT + 1 ids before them (start ids at
+    the text's start), packed; n is how many windows a piece has, ``at`` a hash of it, of the row's key and its place in the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to = np.where(starts, 2, 3)
-        to[frequent] = 4 + np.arange(frequent.size)
+        short = to.astype(np.uint16)
         for b in batches:
-            taken, hashes = [], []
-            for t in b.column(0).cast(pa.binary()):
-                words = (t.as_py() or b"").lower().split()
-                words.append(END)
-                seed = zlib.crc32(b" ".join(words[:64]))
-                n = 1 + len(words) // WINDOW_WORDS
-                for k in range(n):
-                    low, high = k * len(words) // n, (k + 1) * len(words) // n
-                    at = low + (seed * (2 * k + 1) + 7 * k) % max(1, high - low)
-                    first = at if at > CONTEXT else 0  # near the text's start the context is the start
-                    taken.append((first == 0, words[first : first + WINDOW + 1]))
-                    hashes.append(zlib.crc32(b" ".join(taken[-1][1]), seed))
-            new = list(set(chain.from_iterable(w for _, w in taken)) - {END})
-            spelled = {END: [1]}
-            if new:
-                ids, length = public_ids(new)
-                ends, ids = np.cumsum(length).tolist(), to[ids].tolist()
-                spelled.update((w, ids[i:j]) for w, i, j in zip(new, [0, *ends], ends))
-            found = [([0] * (CONTEXT + 1) * head + list(chain.from_iterable(spelled[w] for w in said)) + [0] * (WINDOW + 1))[: WINDOW + 1] for head, said in taken]
-            rows = np.array(found, np.int32).reshape(-1)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, WINDOW + 1, dtype=np.int32)), pa.array(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), lists], names=["at", "x"])
-
-    return map_arrow(training.select(text_col), run, "at long, x array<int>").distinct()
-
-
-def _rows(column: pa.ChunkedArray) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy().reshape(-1, WINDOW + 1).astype(np.int64)
+            keys = (b.column(0).to_numpy() & 0xFFFFFFFF).tolist()
+            for at in range(0, b.num_rows, 100):
+                hashes, n, packed = [], [], []
+                texts = [(t.as_py() or b"").lower().split() for t in b.column(1).slice(at, 100).cast(pa.binary())]
+                for i, ids in enumerate(text_ids(texts)):
+                    own = np.concatenate((np.zeros(CONTEXT + 1, np.uint16), short[ids], np.ones(1, np.uint16)))
+                    for first in range(0, ids.size + 1, PIECE):
+                        x = own[first : first + CONTEXT + 1 + PIECE].tobytes()
+                        # copies in one table are dealt to different trainers
+                        hashes.append(zlib.crc32(b"%d %d" % (at + i, first), zlib.crc32(x, keys[at + i])))
+                        n.append(-(-(len(x) // 2 - CONTEXT - 1) // STRIDE))
+                        packed.append(zlib.compress(x, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(n, pa.int32()), pa.array(packed, pa.binary())], names=["at", "n", "x"])
+
+    return map_arrow(training.select(key, text_col), run, "at long, n int, x binary")
+
+
+def unpacked(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces end to end, and their sizes."""
+    each = [np.frombuffer(zlib.decompress(x), np.uint16) for x in packed]
+    return np.concatenate([np.zeros(0, np.uint16), *each]), np.array([x.size for x in each], np.int64)
+
+
+def windows_of(packed: list[bytes]) -> np.ndarray:
+    """Rows of CONTEXT + STRIDE + 1 model ids, behind the end of a text 0: all windows of pieces."""
+    x, sizes = unpacked(packed)
+    n = -(-(sizes - CONTEXT - 1) // STRIDE)
+    k = STRIDE * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    first, end = np.repeat(np.cumsum(sizes) - sizes, n), np.repeat(np.cumsum(sizes), n)
+    at = (first + k)[:, None] + np.arange(WINDOW + 1)
+    return np.where(at < end[:, None], x[np.minimum(at, max(0, x.size - 1))], 0).astype(np.uint16)
+
+
+def all_sides(pieces: DataFrame, column: np.ndarray) -> np.ndarray:
+    """``count_sides`` over all pieces, added up in two steps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((column.size, 2 * min(NEAR, column.size)), np.int64)
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                x, sizes = unpacked(b.column(0).slice(at, 2000).to_pylist())
+                place = np.arange(x.size) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                right = np.flatnonzero(place > CONTEXT)  # what stands before was a piece's own
+                total += count_sides(x[right - 1], x[right], column)
+        task = TaskContext.get().partitionId()
+        parts = [part.tobytes() for part in np.array_split(total.reshape(-1), PIECES)]
+        yield pa.RecordBatch.from_arrays([pa.array([task] * PIECES, pa.int32()), pa.array(range(PIECES), pa.int32()), pa.array(parts, pa.binary())], names=["task", "piece", "v"])
+
+    def add(t: pa.Table) -> pa.Table:
+        v = np.sum([np.frombuffer(v, np.int64) for v in t["v"].to_pylist()], axis=0)
+        return pa.table({"task": pa.array([0], pa.int32()), "piece": pa.array([t["piece"][0].as_py()], pa.int32()), "v": pa.array([v.tobytes()], pa.binary())})
+
+    schema = "task int, piece int, v binary"
+    near = max(1, math.isqrt(pieces.rdd.getNumPartitions()))
+    half = map_arrow(pieces.select("x"), run, schema).groupBy("piece", F.pmod("task", F.lit(near))).applyInArrow(lambda key, t: add(t), schema)
+    found = half.groupBy("piece").applyInArrow(add, schema).orderBy("piece").select("v").collect()
+    whole = np.concatenate([np.frombuffer(r[0], np.int64) for r in found]) if found else np.zeros(column.size * 2 * min(NEAR, column.size), np.int64)
+    return whole.reshape(column.size, -1)
 
 
 def examples(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Inputs, and the classes of the next ids at the scored positions (-1 behind the end)."""
+    rows = rows.astype(np.int64)
     y = rows[:, CONTEXT + 1 :]
     return rows[:, :-1], np.where(y == 0, -1, group[y])
 
@@ -427,19 +516,18 @@ def examples(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarra
 PIECES = 16
 
 
-def train_round(windows: DataFrame, p: dict[str, np.ndarray], group: np.ndarray, trainers: int, rate: float) -> dict[str, np.ndarray]:
+def train_round(pieces: DataFrame, p: dict[str, np.ndarray], group: np.ndarray, trainers: int, rate: float) -> dict[str, np.ndarray]:
     """The weights after a round: the trainers' own, averaged by their windows in two steps."""
     names, shapes = list(p), {k: v.shape for k, v in p.items()}
-    shared = windows.sparkSession.sparkContext.broadcast((p, group))
+    shared = pieces.sparkSession.sparkContext.broadcast((p, group))
 
     def learn(t: pa.Table) -> pa.Table:
         p, group = shared.value
-        x, y = examples(_rows(t["x"]), group)
-        order = np.argsort(t["at"].to_numpy(), kind="stable")  # however the rows came
-        new = descend(p, x[order], y[order], rate, len(x))
+        rows = windows_of([x for _, x in sorted(zip(t["at"].to_pylist(), t["x"].to_pylist()))])  # however the rows came
+        new = descend(p, rows, group, rate, len(rows))
         parts = np.array_split(np.concatenate([new[k].reshape(-1) for k in names]).astype(np.float64), PIECES)
         trainer = t["trainer"][0].as_py()
-        return pa.table({"trainer": pa.array([trainer] * PIECES, pa.int32()), "piece": pa.array(range(PIECES), pa.int32()), "n": pa.array([float(len(x))] * PIECES), "v": pa.array([part.tobytes() for part in parts], pa.binary())})
+        return pa.table({"trainer": pa.array([trainer] * PIECES, pa.int32()), "piece": pa.array(range(PIECES), pa.int32()), "n": pa.array([float(len(rows))] * PIECES), "v": pa.array([part.tobytes() for part in parts], pa.binary())})
 
     def mean(t: pa.Table) -> pa.Table:
         n = t["n"].to_numpy()
@@ -448,7 +536,7 @@ def train_round(windows: DataFrame, p: dict[str, np.ndarray], group: np.ndarray,
 
     schema = "trainer int, piece int, n double, v binary"
     near = max(1, math.isqrt(trainers))
-    made = windows.select(F.pmod("at", F.lit(trainers)).cast("int").alias("trainer"), "at", "x").groupBy("trainer").applyInArrow(learn, schema)
+    made = pieces.select(F.pmod("at", F.lit(trainers)).cast("int").alias("trainer"), "at", "x").groupBy("trainer").applyInArrow(learn, schema)
     half = made.groupBy("piece", F.pmod("trainer", F.lit(near))).applyInArrow(lambda key, t: mean(t), schema)
     whole = np.concatenate([np.frombuffer(r[0], np.float64) for r in half.groupBy("piece").applyInArrow(mean, schema).orderBy("piece").select("v").collect()])
     out, at = {}, 0
@@ -459,22 +547,27 @@ def train_round(windows: DataFrame, p: dict[str, np.ndarray], group: np.ndarray,
     return out
 
 
-def fit(training: DataFrame, counts: DataFrame, text_col: str = "text", vocabulary: int = 4096, most_pairs: int = 500_000, trainer_windows: int = 16_000) -> Attention:
-    """The model of all training texts; counts are their (word, c)."""
+def fit(training: DataFrame, counts: DataFrame, text_col: str = "text", key: str = "u", vocabulary: int = 4096, most_pairs: int = 500_000, trainer_windows: int = 64_000) -> Attention:
+    """The model of all training texts; counts are their (word, c), key a column with a hash of the row's id."""
     ship(training.sparkSession)
-    pairs = cut(subword_pairs(counts))
-    often = pairs.groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(vocabulary).collect()
-    frequent = np.array([r[0] for r in often], np.int64)
-    windows = cut(training_windows(training, frequent, begins_word(), text_col))
-    n = windows.count()
-    sample = windows.where(F.pmod("at", F.lit(1 << 20)) <= (1 << 20) * min(1.0, 4.0 * GROUPING_WINDOWS / max(1, n))).orderBy("at", "x").limit(GROUPING_WINDOWS)
-    rows = np.array([r[0] for r in sample.select("x").collect()], np.int64).reshape(-1, WINDOW + 1)
-    v = vocabulary_of(rows, frequent, pairs, most_pairs)
+    pairs, starts = cut(subword_pairs(counts)), begins_word()
+    often = np.zeros(SUBWORDS)
+    for i, n in pairs.groupBy("id").agg(F.sum("n")).collect():
+        often[i] = n
+    frequent = np.argsort(-often, kind="stable")[: min(vocabulary, np.count_nonzero(often))]
+    to = model_ids(frequent, starts)
+    pieces = cut(training_pieces(training, to, key, text_col))
+    n = pieces.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ends = (counts.where(F.col("word") == F.lit(END)).agg(F.sum("c")).first()[0]) or 0
+    seen = np.bincount(to, often, 4 + frequent.size)
+    seen[:2] = ends  # every text has a start and an end
+    group = group_sides(all_sides(pieces, near_columns(seen)), seen, np.concatenate(([True, True, True, False], starts[frequent])))
+    v = vocabulary_of(to, group, often, pairs, most_pairs)
     p = initial_weights(v.group.size)
     trainers = max(1, round(n / ROUNDS / trainer_windows))
     few = n < ROUNDS * BATCH * 8  # so few that a round takes all of them
     for k in range(ROUNDS if n else 0):
-        mine = windows if few else windows.where(F.pmod(F.shiftright("at", 8), F.lit(ROUNDS)) == k)
+        mine = pieces if few else pieces.where(F.pmod(F.shiftright("at", 8), F.lit(ROUNDS)) == k)
         p = train_round(mine, p, v.group, trainers, 0.01 * min(1.0, 1.5 * (1 - k / ROUNDS)))
     return fold(p, v)
 
@@ -486,7 +579,8 @@ def score(docs: DataFrame, is_training: Column, hot_words: int = 200_000, id_col
     """(doc_id, extra columns, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     extra = extra or {}
     given = docs.select(id_col, text_col, *(c.alias(k) for k, c in extra.items()), is_training.alias("_training"))
-    training = given.where("_training")
+    named = given.withColumns({"u": F.xxhash64(F.col(id_col).isNull(), id_col), "t": F.xxhash64(text_col)})
+    training = named.where("_training")
     counts = cut(word_counts(training, text_col))
     total, vocab = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     hot = {bytes(r[0]): r[1] for r in counts.where(F.col("c") >= at_least(counts, "c", hot_words)).collect()}
@@ -499,7 +593,6 @@ def score(docs: DataFrame, is_training: Column, hot_words: int = 200_000, id_col
             for at in range(0, whole.num_rows, 100):
                 yield from _score_batch(model, hot, whole.slice(at, 100), denominator)
 
-    named = given.withColumns({"u": F.xxhash64(F.col(id_col).isNull(), id_col), "t": F.xxhash64(text_col)})
     parts = map_arrow(named.select("u", "t", text_col), run, PARTS)
     parts = parts.join(counts.withColumnRenamed("word", "_w"), F.col("word") == F.col("_w"), "left")
     c, rare = F.coalesce("c", F.lit(0)), F.col("k") > 0

@@ -556,6 +556,32 @@ def test_public_ids_in_one_call():
         assert length.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
 
 
+def test_every_token_of_every_training_text_is_learnt(spark):
+    """All of long texts and of copies, in windows as they are scored; the classes' neighbours are counted over all of them."""
+    from collections import Counter
+
+    m, rows = language_model, [(i, t) for i, t in enumerate(texts(30, 4))]
+    rows += [(100, " ".join(texts(60, 9))), (101, rows[0][1]), (102, rows[0][1]), (102, rows[0][1]), (103, None), (104, " "), (105, "x\u00a0 \u2028y <|endoftext|> Don't"), (None, "a b")]
+    starts = m.begins_word()
+    to = m.model_ids(np.unique(m.public_ids([w for t in texts(30, 4) for w in t.lower().encode().split()])[0])[::2], starts)
+    pieces = m.training_pieces(docs_of(spark, rows).repartition(3).withColumn("u", F.xxhash64("doc_id")), to).collect()
+    found = m.windows_of([r.x for r in pieces])
+    of = {t: [to[i] for w in (t or "").encode().lower().split() for i in m.public_ids([w])[0]] + [1] for _, t in rows}
+    assert max(map(len, of.values())) > m.PIECE and sum(r.n for r in pieces) == len(found)
+    want, pairs = Counter(), Counter()
+    for _, t in rows:
+        inputs, start, first, end = m.layout(np.array(of[t]), np.array([len(of[t])]))
+        for a, b, e in zip(start, first, end):
+            y = of[t][b : min(e, b + m.STRIDE)]
+            want[(*inputs[a : a + m.CONTEXT + 1].tolist(), *map(int, y))] += 1
+        pairs.update(zip([0, *of[t]], of[t]))
+    assert Counter(tuple(int(i) for k, i in enumerate(w) if k <= m.CONTEXT or i) for w in found) == want
+    column = m.near_columns(np.arange(int(to.max()) + 1)[::-1])
+    a, b = (np.repeat([k[i] for k in pairs], list(pairs.values())).astype(np.int64) for i in (0, 1))
+    every = spark.createDataFrame([(bytes(r.x),) for r in pieces], "x binary").repartition(3)
+    assert (m.all_sides(every, column) == m.count_sides(a, b, column)).all()
+
+
 def test_gradient_matches_differences():
     rng = np.random.default_rng(2)
     p = {k: x.astype(np.float64) for k, x in language_model.initial_weights(12, 3).items()}
