@@ -1,10 +1,12 @@
 """Near copies by true Jaccard similarity of word-shingle sets.
 
 Sets: ASCII-lower-cased words, distinct word shingles as XXH64 values; fewer words than a shingle make one shingle of
-the whole. Equal sets are one from the start. Candidates share a band of MinHash values: with 32 bands of 4, a pair
-of similarity 0.8 is missed with probability (1 - 0.8^4)^32 = 5e-8. Every candidate pair is compared by its
-whole sets unless links already join it, first with a leader of its buckets, so that a large group
-becomes one component, then what of a bucket is still in several components.
+the whole. Equal sets are one from the start. Candidates come first from SimHash fingerprints of the shingles, by op5's multi-index
+hashing (``simhash.fingerprint_links``): those within ``DISTANCE`` bits. At similarity 0.8 fingerprints differ in about 10 of 64 bits, more
+than segments reach, so candidates are besides those that share a band of MinHash values: with 32 bands of 4, a pair of similarity 0.8
+is missed with probability (1 - 0.8^4)^32 = 5e-8. Every candidate pair is compared by its whole sets unless links already join it,
+first with those its fingerprint links to and with a leader of its buckets, so that a large group becomes one component, then what
+of a bucket is still in several components.
 
 Defined results: null, empty and blank texts have the empty set and are copies of each other; ids are unique longs; an
 empty table gives an empty result; other columns are not read.
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.functions.runtime import cut, join_counted, map_arrow, shuffle_partitions
+from skarn.llm.simhash import fingerprint_links
 from skarn.operators.components import connected_components
 
 SEED = 42
@@ -28,6 +31,8 @@ BANDS, ROWS = 32, 4
 #: A cell holds at most two chunks of documents, about.
 CHUNK = 256
 BROADCAST_ROWS = 100_000
+#: Bits in which the fingerprints of candidates differ at most.
+DISTANCE = 4
 _R = np.random.default_rng(SEED)
 MASKS, FACTORS = _R.integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64)
 FACTORS |= np.uint64(1)
@@ -59,6 +64,24 @@ def band_keys(s: np.ndarray) -> np.ndarray:
     return key
 
 
+def set_fingerprint(s: np.ndarray) -> int:
+    """The SimHash fingerprint of a set of shingle hashes: a bit is set when it is in over half of them."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, s.size, 16384):
+        counts += np.unpackbits(s[at : at + 16384].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > s.size, bitorder="little").view("<u8")[0])
+
+
+def fingerprint_candidates(distinct: DataFrame) -> DataFrame:
+    """(id, bucket) of sets (id, fp): the sets that a set's fingerprint links it to, of equal fingerprints the one with the smallest id."""
+    first = cut(distinct.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")))
+    links = fingerprint_links(first.select("fp"), DISTANCE)
+    roots = first.select(F.col("fp").alias("dst"), F.col("first").alias("bucket"))
+    near = first.select("fp", "first").join(links, F.col("fp") == F.col("src")).join(roots, "dst").select(F.col("first").alias("id"), "bucket")
+    equal = join_counted(distinct.select("id", "fp"), first.where("n > 1"), "fp", "n", distinct.count()).where("id <> first").select("id", F.col("first").alias("bucket"))
+    return near.union(equal)
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *arrays]).view(np.int64)))
@@ -66,12 +89,14 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 def _mark(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keys, whole = [], []
+        keys, whole, fp = [], [], []
         for t in b.column(1).cast(pa.binary()).to_pylist():
             s = shingle_set(t, width)
             keys.append(band_keys(s))
             whole.append(xxhash.xxh3_128_digest(s.tobytes()))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(whole, pa.binary()), _lists(keys)], names=["id", "whole", "keys"])
+            fp.append(set_fingerprint(s))
+        fps = pa.array(np.array(fp, np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(whole, pa.binary()), _lists(keys), fps], names=["id", "whole", "keys", "fp"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -129,12 +154,13 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
 
 
 def near_copy_links(docs: DataFrame, distinct: DataFrame, width: int, threshold: float, chunk: int) -> DataFrame:
-    """(src, dst) links among distinct sets (id, keys) that join what all similar candidate pairs join."""
+    """(src, dst) links among distinct sets (id, keys, fp) that join what all similar candidate pairs join."""
     n = shuffle_partitions(docs.sparkSession)
     posted = distinct.select("id", F.explode("keys").alias("key"))
     buckets = posted.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1")
     shared = cut(posted.join(buckets.drop("n"), "key"))
-    need = cut(shared.select("id").distinct())
+    marked = cut(fingerprint_candidates(distinct))
+    need = cut(shared.select("id").union(marked.select("id")).union(marked.select("bucket")).distinct())
     few = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need
     sets = cut(map_arrow(docs.join(few, "id", "left_semi").select("id", "text"), lambda batches: _sets(batches, width), "id long, s array<long>"))
 
@@ -146,6 +172,7 @@ def near_copy_links(docs: DataFrame, distinct: DataFrame, width: int, threshold:
     zero = F.lit(0).cast("long")
     up_to = lambda c: F.sequence(zero, c - 1)
     led = shared.where("id <> leader").groupBy("id").agg(F.min("leader").alias("bucket"))
+    led = cut(led.union(marked.select("id", "bucket")).distinct())
     stars = led.groupBy("bucket").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
     members = led.join(stars, "bucket").select("bucket", F.pmod(F.xxhash64("id"), "chunks").alias("cell"), "id", F.col("id").alias("comp"))
     leaders = stars.select("bucket", F.explode(up_to(F.col("chunks"))).alias("cell"), F.col("bucket").alias("id"), F.col("bucket").alias("comp"))
@@ -169,9 +196,9 @@ def near_copy_links(docs: DataFrame, distinct: DataFrame, width: int, threshold:
 def near_copy_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component) of every document; a component is what pairs of at least this Jaccard similarity join."""
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    marked = cut(map_arrow(given, lambda batches: _mark(batches, width), "id long, whole binary, keys array<long>"))
-    firsts = cut(marked.groupBy("whole").agg(F.min("id").alias("first"), F.first("keys").alias("keys"), F.count("*").alias("n")))
-    links = near_copy_links(given, firsts.select(F.col("first").alias("id"), "keys"), width, threshold, chunk)
+    marked = cut(map_arrow(given, lambda batches: _mark(batches, width), "id long, whole binary, keys array<long>, fp long"))
+    firsts = cut(marked.groupBy("whole").agg(F.min("id").alias("first"), F.first("keys").alias("keys"), F.first("fp").alias("fp"), F.count("*").alias("n")))
+    links = near_copy_links(given, firsts.select(F.col("first").alias("id"), "keys", "fp"), width, threshold, chunk)
     labels = connected_components(links).select(F.col("node").alias("first"), "component")
-    named = cut(firsts.drop("keys").join(labels, "first", "left").select("whole", "n", F.coalesce("component", "first").alias("component")))
+    named = cut(firsts.drop("keys", "fp").join(labels, "first", "left").select("whole", "n", F.coalesce("component", "first").alias("component")))
     return join_counted(marked.select("id", "whole"), named, "whole", "n", marked.count()).select(F.col("id").alias(id_col), "component")

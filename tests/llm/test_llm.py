@@ -782,6 +782,39 @@ def test_pipeline_near_duplicates_match_brute_force(spark):
     assert corpus_pipeline.near_duplicate_stage(spark, docs_of(spark, []), None).count() == 0
 
 
+def test_near_copies_come_from_fingerprints_by_multi_index_hashing(spark):
+    """Sets join by the fingerprints' links what all pairs within the distance join, and without MinHash bands too."""
+    every = planted(11, 12) + ["one two", "", "a b c d e f"]
+    sets = [near_copies.shingle_set(t.encode()) for t in every]
+    fps = [near_copies.set_fingerprint(s) for s in sets]
+    for s, f in zip(sets, fps):
+        assert f == sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in s) > len(s))
+    fps += [fps[0], fps[0] ^ 0b1111, fps[0] ^ 0b11111 << 20]
+    rows = [(i, int(np.array(f, np.uint64).view(np.int64))) for i, f in enumerate(fps)]
+    parent = list(range(len(fps)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    def groups(links):
+        parent[:] = range(len(fps))
+        for i, j in links:
+            parent[find(i)] = find(j)
+        return {frozenset(j for j in range(len(fps)) if find(j) == find(i)) for i in range(len(fps))}
+
+    want = groups((i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= near_copies.DISTANCE)
+    got = near_copies.fingerprint_candidates(spark.createDataFrame(rows, "id long, fp long")).collect()
+    assert groups((r.id, r.bucket) for r in got) == want and 1 < len(want) < len(fps)
+    # with no bands at all, close copies are still found
+    close = [(i, t) for i, t in enumerate(every[:5])]
+    marked = spark.createDataFrame([(i, [], rows[i][1]) for i, _ in close], "id long, keys array<long>, fp long")
+    found = near_copies.near_copy_links(docs_of(spark, close).withColumnRenamed("doc_id", "id"), marked, 5, 0.8, 8).collect()
+    near = {(i, j) for i in range(5) for j in range(5) if i != j and (fps[i] ^ fps[j]).bit_count() <= near_copies.DISTANCE and slow_jaccard(every[i], every[j]) >= 0.8}
+    assert bool(found) == bool(near) and all(slow_jaccard(every[r.src], every[r.dst]) >= 0.8 for r in found)
+
+
 def test_near_copies_of_one_large_group_meet_in_cells(spark):
     r = random.Random(8)
     base = [f"w{i}" for i in range(120)]
