@@ -31,6 +31,8 @@ BANDS, ROWS = 32, 4
 #: A cell holds at most two chunks of documents, about.
 CHUNK = 256
 BROADCAST_ROWS = 100_000
+#: Up to so many links are joined in one task; rounds over all partitions would cost the driver and the disk more than the links weigh.
+FEW_LINKS = 200_000
 #: Bits in which the fingerprints of candidates differ at most.
 DISTANCE = 4
 _R = np.random.default_rng(SEED)
@@ -153,6 +155,30 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
     yield batch(links())
 
 
+def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (src, dst) of one task; emits (node, component), the smallest node that links reach."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while (up := root.setdefault(top, top)) != top:
+            top = up
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            x, y = find(x), find(y)
+            root[max(x, y)] = min(x, y)
+    yield pa.RecordBatch.from_arrays([pa.array(list(root), pa.int64()), pa.array([find(x) for x in root], pa.int64())], names=["node", "component"])
+
+
+def linked(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
+    """(node, component) of computed links (src, dst) without nulls."""
+    return map_arrow(links.coalesce(1), _join, "node long, component long") if links.count() <= few else connected_components(links)
+
+
 def near_copy_links(docs: DataFrame, distinct: DataFrame, width: int, threshold: float, chunk: int) -> DataFrame:
     """(src, dst) links among distinct sets (id, keys, fp) that join what all similar candidate pairs join."""
     n = shuffle_partitions(docs.sparkSession)
@@ -178,7 +204,7 @@ def near_copy_links(docs: DataFrame, distinct: DataFrame, width: int, threshold:
     leaders = stars.select("bucket", F.explode(up_to(F.col("chunks"))).alias("cell"), F.col("bucket").alias("id"), F.col("bucket").alias("comp"))
     first = verified(members.union(leaders))
 
-    labels = connected_components(first).withColumnRenamed("node", "id")
+    labels = linked(first).withColumnRenamed("node", "id")
     held = cut(shared.drop("leader").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp")))
     parts = held.groupBy("key", "comp").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"))
     mixed = parts.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("big"), F.count("*").alias("c"), F.sum("m").alias("n"), F.bit_xor("x").alias("x")).where("c > 1")
@@ -199,6 +225,6 @@ def near_copy_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, ch
     marked = cut(map_arrow(given, lambda batches: _mark(batches, width), "id long, whole binary, keys array<long>, fp long"))
     firsts = cut(marked.groupBy("whole").agg(F.min("id").alias("first"), F.first("keys").alias("keys"), F.first("fp").alias("fp"), F.count("*").alias("n")))
     links = near_copy_links(given, firsts.select(F.col("first").alias("id"), "keys", "fp"), width, threshold, chunk)
-    labels = connected_components(links).select(F.col("node").alias("first"), "component")
+    labels = linked(links).select(F.col("node").alias("first"), "component")
     named = cut(firsts.drop("keys", "fp").join(labels, "first", "left").select("whole", "n", F.coalesce("component", "first").alias("component")))
     return join_counted(marked.select("id", "whole"), named, "whole", "n", marked.count()).select(F.col("id").alias(id_col), "component")

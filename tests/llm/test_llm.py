@@ -815,6 +815,24 @@ def test_near_copies_come_from_fingerprints_by_multi_index_hashing(spark):
     assert bool(found) == bool(near) and all(slow_jaccard(every[r.src], every[r.dst]) >= 0.8 for r in found)
 
 
+def test_few_links_are_joined_in_one_task(spark):
+    r = random.Random(8)
+    links = spark.createDataFrame([(r.randrange(60), r.randrange(60, 120)) for _ in range(50)], "src long, dst long")
+    want = sorted(near_copies.linked(links, few=0).collect())
+    assert sorted(near_copies.linked(links).collect()) == want and len({c for _, c in want}) > 3
+    assert near_copies.linked(links.where("src < 0")).count() == 0
+    # the driver runs every job; with rounds over all partitions there were more than 110 here
+    base = texts(6, 12, 80)
+    rows = list(enumerate(base + [t + f" end{k}" for t in base for k in range(3)]))
+    spark.sparkContext.setJobGroup("few links", "")
+    try:
+        assert len({x.component for x in near_copies.near_copy_groups(docs_of(spark, rows)).collect()}) == 6
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few links"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 110
+
+
 def test_near_copies_of_one_large_group_meet_in_cells(spark):
     r = random.Random(8)
     base = [f"w{i}" for i in range(120)]
