@@ -68,7 +68,49 @@ END = b""  # stands for the end token among words, which are never empty
 FLUSH_WORDS = 300_000
 #: The most frequent ids, whose places beside an id tell its class.
 NEAR = 128
-_SPELLED: dict[str, dict[bytes, tuple[list[int], float]]] = {}
+#: Words that a Python worker keeps spelled, and those of a flush in scoring, about.
+MOST_SPELLED, FLUSH_SCORED = 400_000, 4 * SEGMENT
+
+
+class Spelled:
+    """Model ids of words, one word's behind another's, with their log probability within the classes and how often they are counted."""
+
+    def __init__(self) -> None:
+        self.place = {END: 0}
+        self.ids, self.start, self.length, self.within = np.ones(1, np.uint16), np.zeros(1, np.int64), np.ones(1, np.int64), np.zeros(1)
+        self.count = np.zeros(1)
+
+    def places(self, words: list[bytes], vocabulary: Vocabulary, hot: dict[bytes, int] | None = None) -> np.ndarray:
+        """Of distinct words; those not met before are spelled."""
+        if hot:
+            self.count[0] = hot.get(END, 0)
+        new = [w for w in words if w not in self.place]
+        if new:
+            ids, length = public_ids(new)
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+            self.start = np.concatenate((self.start, self.ids.size + np.cumsum(length) - length))
+            self.length = np.concatenate((self.length, length))
+            self.ids = np.concatenate((self.ids, vocabulary.to[ids].astype(np.uint16)))
+            self.within = np.concatenate((self.within, vocabulary.within(ids, length)))
+            self.count = np.concatenate((self.count, np.fromiter((hot.get(w, 0) for w in new) if hot else np.zeros(len(new)), np.float64, len(new))))
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+
+    def laid_out(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words at these places, end to end, and how many each has."""
+        length = self.length[at]
+        first = np.cumsum(length) - length
+        return self.ids[np.repeat(self.start[at] - first, length) + np.arange(int(length.sum()))], length
+
+
+_SPELLED: dict[str, Spelled] = {}
+
+
+def spelled(tag: str) -> Spelled:
+    """What this Python worker has spelled with a vocabulary, up to a bound."""
+    if tag not in _SPELLED or len(_SPELLED[tag].place) > MOST_SPELLED:
+        _SPELLED.clear()
+        _SPELLED[tag] = Spelled()
+    return _SPELLED[tag]
 
 
 @dataclass
@@ -95,21 +137,6 @@ class Vocabulary:
         total[k] = np.log((n + BACK_OFF * np.exp(total[k])) / (m + BACK_OFF))
         return np.add.reduceat(total, np.cumsum(length) - length)
 
-    def spell(self, words: set[bytes]) -> dict[bytes, tuple[list[int], float]]:
-        """Model ids of words and their log probability within the classes, kept by each Python worker up to a bound."""
-        if self.tag not in _SPELLED:
-            _SPELLED.clear()
-        known = _SPELLED.setdefault(self.tag, {END: ([1], 0.0)})
-        if len(known) > 300_000:
-            known.clear()
-            known[END] = ([1], 0.0)
-        new = list(words - known.keys())
-        if new:
-            ids, length = public_ids(new)
-            ends, mine = np.cumsum(length).tolist(), self.to[ids].tolist()
-            known.update((w, (mine[i:j], x)) for w, i, j, x in zip(new, [0, *ends], ends, self.within(ids, length).tolist()))
-        return known
-
 
 def _look_up(codes: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     if not codes.size:
@@ -208,6 +235,21 @@ def initial_weights(size: int, seed: int = 7) -> dict[str, np.ndarray]:
 
 def gradient(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean cross-entropy of the classes y (-1: none) at the scored positions of windows x."""
+    grad, de = gradient_parts(p, x, y, int((y >= 0).sum()), causal_mask(p["r"]))
+    return grad | {"e": gradient_of_ids(x, de, p["e"])}
+
+
+def gradient_of_ids(x: np.ndarray, de: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Added up by id what rows de give to the ids x."""
+    order = np.argsort(x.astype(np.uint16).reshape(-1), kind="stable")
+    ids = x.reshape(-1)[order]
+    new, out = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))), np.zeros_like(e)
+    out[ids[new]] = np.add.reduceat(de.take(order, axis=0), new, axis=0)
+    return out
+
+
+def gradient_parts(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, n: int, mask: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Of the sum of the cross-entropy over n: the gradient of all weights but "e", and a row for each id in x that goes to its row of "e"."""
     scale, back = DIMENSIONS**-0.5, np.maximum(np.arange(CONTEXT, WINDOW)[:, None] - np.arange(WINDOW)[None, :], 0)
     flat = lambda t: t.reshape(-1, t.shape[-1])
     d, own = DIMENSIONS, y >= 0
@@ -219,16 +261,17 @@ def gradient(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> dict[str
     k, v, q = both[..., :d], both[..., d:], first[:, :d].reshape(*y.shape, d)
     a = q @ k.transpose(0, 2, 1)
     np.exp(np.clip(a, -BOUND, BOUND, out=a), out=a)
-    a *= causal_mask(p["r"])
+    a *= mask
     a /= np.einsum("bij->bi", a)[..., None]
-    z = flat(a @ v)
-    g = z @ p["o"]
+    z_mine = np.empty((mine.shape[0], 2 * d), mine.dtype)
+    z_mine[:, :d], z_mine[:, d:] = flat(a @ v), mine
+    g = z_mine[:, :d] @ p["o"]
     g += first[:, d:]
     g += p["c"]
     np.exp(np.clip(g, -BOUND, BOUND, out=g), out=g)
     g /= np.einsum("ij->i", g)[:, None]
     g[np.arange(y.size), np.maximum(y, 0).reshape(-1)] -= 1
-    g *= (own.reshape(-1) / max(1, own.sum())).astype(g.dtype)[:, None]
+    g *= (own.reshape(-1) / max(1, n)).astype(g.dtype)[:, None]
     dz = (g @ p["o"].T).reshape(*y.shape, d)
     ds = dz @ v.transpose(0, 2, 1)
     ds -= np.einsum("bij,bij->bi", ds, a)[..., None]
@@ -239,26 +282,22 @@ def gradient(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> dict[str
     np.matmul(a.transpose(0, 2, 1), dz, out=dkv[..., d:])
     de = (flat(dkv) @ kv.T).reshape(e.shape)
     de[:, CONTEXT:] += (dqu @ qu.T).reshape(*y.shape, d)
-    of_kv, of_qu = flat_e.T @ flat(dkv), mine.T @ dqu
-    grad = {"o": z.T @ g, "u": of_qu[:, d:], "c": g.sum(0), "q": of_qu[:, :d] * scale, "k": of_kv[:, :d], "v": of_kv[:, d:], "r": np.bincount(back.reshape(-1), ds.sum(0).reshape(-1), WINDOW)}
-    order = np.argsort(x.astype(np.uint16).reshape(-1), kind="stable")
-    ids = x.reshape(-1)[order]
-    new = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-    grad["e"] = np.zeros_like(p["e"])
-    grad["e"][ids[new]] = np.add.reduceat(flat(de).take(order, axis=0), new, axis=0)
-    return grad
+    of_kv, of_both = flat_e.T @ flat(dkv), z_mine.T @ dqu
+    of_qu = of_both[d:]
+    grad = {"o": of_both[:d, d:], "u": of_qu[:, d:], "c": g.sum(0), "q": of_qu[:, :d] * scale, "k": of_kv[:, :d], "v": of_kv[:, d:], "r": np.bincount(back.reshape(-1), ds.sum(0).reshape(-1), WINDOW)}
+    return grad, flat(de)
 
 
 def gradient_of(p: dict[str, np.ndarray], rows: np.ndarray, group: np.ndarray) -> dict[str, np.ndarray]:
     """``gradient`` over windows (rows of model ids), by parts that a processor's cache holds."""
-    total, seen = {k: np.zeros_like(v) for k, v in p.items()}, 0
-    for at in range(0, len(rows), BATCH):
-        x, y = examples(rows[at : at + BATCH], group)
-        n = int((y >= 0).sum())
-        for k, g in gradient(p, x, y).items():
-            total[k] += g.astype(np.float32) * np.float32(n)
-        seen += n
-    return {k: g / np.float32(max(1, seen)) for k, g in total.items()}
+    x, y = examples(rows, group)
+    n, mask = int((y >= 0).sum()), causal_mask(p["r"])
+    total, de = {k: np.zeros_like(v) for k, v in p.items() if k != "e"}, np.empty((x.size, DIMENSIONS), np.float32)
+    for at in range(0, len(x), BATCH):
+        part, de[at * WINDOW : (at + BATCH) * WINDOW] = gradient_parts(p, x[at : at + BATCH], y[at : at + BATCH], n, mask)
+        for k, g in part.items():
+            total[k] += g.astype(np.float32)
+    return total | {"e": gradient_of_ids(x, de, p["e"])}
 
 
 def descend(p: dict[str, np.ndarray], rows: np.ndarray, group: np.ndarray, rate: float, seed: int) -> dict[str, np.ndarray]:
@@ -271,9 +310,13 @@ def descend(p: dict[str, np.ndarray], rows: np.ndarray, group: np.ndarray, rate:
         for at in range(0, len(rows), batch):
             step += 1
             for n, gr in gradient_of(p, rows[order[at : at + batch]], group).items():
-                mean[n] = 0.9 * mean[n] + 0.1 * gr
-                square[n] = 0.99 * square[n] + 0.01 * gr * gr
-                p[n] = (p[n] - rate * (mean[n] / (1 - 0.9**step)) / (np.sqrt(square[n] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                mean[n] += np.float32(0.1) * (gr - mean[n])
+                gr *= gr
+                square[n] += np.float32(0.01) * (gr - square[n])
+                root = np.sqrt(square[n])
+                root *= np.float32((1 - 0.99**step) ** -0.5)
+                root += np.float32(1e-8)
+                p[n] = p[n] - np.float32(rate / (1 - 0.9**step)) * mean[n] / root
     return p
 
 
@@ -590,8 +633,8 @@ def score(docs: DataFrame, is_training: Column, hot_words: int = 200_000, id_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, hot = shared.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 100):
-                yield from _score_batch(model, hot, whole.slice(at, 100), denominator)
+            for at in range(0, whole.num_rows, 400):
+                yield from _score_batch(model, hot, whole.slice(at, 400), denominator)
 
     parts = map_arrow(named.select("u", "t", text_col), run, PARTS)
     parts = parts.join(counts.withColumnRenamed("word", "_w"), F.col("word") == F.col("_w"), "left")
@@ -616,8 +659,10 @@ def _score_batch(model: Attention, hot: dict[bytes, int], rows: pa.RecordBatch,
         n = len(held)
         of = np.repeat(np.arange(n), [len(h) for h in held])
         words, code = distinct(held)
-        log_p = word_log_probs(model, held, words, code)
-        c = np.fromiter((hot.get(w, 0) for w in words), np.float64, len(words))
+        store = spelled(model.vocabulary.tag)
+        place = store.places(words, model.vocabulary, hot)
+        c = store.count[place]
+        log_p = word_log_probs(model, held, store, place[code])
         base, is_hot = np.where(c > 0, np.log10((c + 0.1) / denominator), 0.0), c > 0
         tokens, n_known, bases, scores = (np.bincount(of, x, n) for x in (np.ones(of.size), is_hot[code], base[code], log_p))
         pairs, times = np.unique((of * len(words) + code)[~is_hot[code]], return_counts=True)
@@ -634,14 +679,16 @@ def _score_batch(model: Attention, hot: dict[bytes, int], rows: pa.RecordBatch,
 
     first: list[bool] = []  # the first segment of a row counts the row
     for i, text in enumerate(rows.column(2).cast(pa.binary())):
-        words = (text.as_py() or b"").lower().split()
+        whole = text.as_py() or b""
+        words = whole.lower().split()
         words.append(END)
+        waiting += len(whole) // 8  # long words have many ids
         for at in range(0, len(words), SEGMENT):
             held.append(words[at : at + SEGMENT])
             owner.append(i)
             first.append(at == 0)
             waiting += len(held[-1])
-            if waiting > SEGMENT:
+            if waiting > FLUSH_SCORED:
                 yield flush(first)
                 held.clear()
                 owner.clear()
@@ -653,34 +700,30 @@ def _score_batch(model: Attention, hot: dict[bytes, int], rows: pa.RecordBatch,
 
 def distinct(segments: list[list[bytes]]) -> tuple[list[bytes], np.ndarray]:
     """The distinct words of segments, the end token first, and the place among them of every word."""
-    place = {END: 0}
-    code = np.array([place.setdefault(w, len(place)) for s in segments for w in s], np.int64)
-    return list(place), code
+    every = pa.array([END, *chain.from_iterable(segments)], pa.binary()).dictionary_encode()
+    return every.dictionary.to_pylist(), every.indices.to_numpy()[1:].astype(np.int64)
 
 
-def word_log_probs(model: Attention, segments: list[list[bytes]], words: list[bytes] | None = None, code: np.ndarray | None = None) -> np.ndarray:
+def word_log_probs(model: Attention, segments: list[list[bytes]], store: Spelled | None = None, place: np.ndarray | None = None) -> np.ndarray:
     """log10 probability under attention of every word of segments, each a run of words with a context of its own. A segment that doesn't end
-    with the end token gets one that isn't scored, so that the mass of what may follow its last word is known. words and code are ``distinct`` of the segments."""
-    if words is None or code is None:
+    with the end token gets one that isn't scored, so that the mass of what may follow its last word is known. place tells the words' places
+    in store."""
+    if store is None or place is None:
         words, code = distinct(segments)
-    known = model.vocabulary.spell(set(words))
-    spelled = [known[w] for w in words]
-    sizes = np.fromiter((len(ids) for ids, _ in spelled), np.int64, len(words))
-    flat, start = np.fromiter(chain.from_iterable(ids for ids, _ in spelled), np.int64, int(sizes.sum())), np.cumsum(sizes) - sizes
-    within = np.fromiter((x for _, x in spelled), np.float64, len(words))
+        store = spelled(model.vocabulary.tag)
+        place = store.places(words, model.vocabulary)[code]
     count = np.array([len(s) for s in segments])
     open_end = np.array([s[-1] != END for s in segments])
-    scored = np.ones(code.size + int(open_end.sum()), bool)
+    scored = np.ones(place.size + int(open_end.sum()), bool)
     edges = np.cumsum(count + open_end)
     scored[edges[open_end] - 1] = False
-    every = np.zeros(scored.size, np.int64)  # the added ends are the end token, which is word 0
-    every[scored] = code
-    length = sizes[every]
+    every = np.zeros(scored.size, np.int64)  # the added ends are the end token, which has place 0
+    every[scored] = place
+    targets, length = store.laid_out(every)
     ends = np.cumsum(length)
     first = ends - length
-    targets = flat[np.repeat(start[every] - first, length) + np.arange(int(length.sum()))]
     of_class, new = token_log_probs(model, targets, np.diff(np.concatenate(([0], ends[edges - 1]))))
     begun = new[first].astype(np.float64)  # the log mass of all ids that begin a word, where this word begins
     follows = np.append(begun[1:], 0.0)
     follows[edges - 1] = 0.0  # nothing follows the end
-    return ((np.add.reduceat(of_class.astype(np.float64), first) + within[every] - begun + follows) / np.log(10))[scored]
+    return ((np.add.reduceat(of_class.astype(np.float64), first) + store.within[every] - begun + follows) / np.log(10))[scored]

@@ -582,6 +582,54 @@ def test_every_token_of_every_training_text_is_learnt(spark):
     assert (m.all_sides(every, column) == m.count_sides(a, b, column)).all()
 
 
+def test_words_are_spelled_once_and_scored_together(monkeypatch):
+    m, said = small_model()
+    every = [" ".join(t.decode() for t in said[k % 40 :]) for k in range(120)] + [None, "", "new \tword " * 30]
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([7] * len(rows), pa.int64()), pa.array([t for _, t in rows], pa.string())], names=["u", "t", "text"])
+    hot = {w: 3 for t in said[:9] for w in t.split()} | {b"": 123}
+    spelled, spell = [], language_model.public_ids
+    monkeypatch.setattr(language_model, "public_ids", lambda words: spelled.extend(words) or spell(words))
+
+    def scored(parts):
+        out = {}
+        for b in parts:
+            for r in b.to_pylist():
+                at = out.setdefault(r["u"], [0, 0, 0.0, 0.0, {}])
+                for k, c in enumerate(("n_tokens", "n_known", "base", "score")):
+                    at[k] += r[c]
+                if r["k"]:
+                    at[4][r["word"]] = r["k"]
+        return out
+
+    rows = list(enumerate(every))
+    together = list(language_model._score_batch(m, hot, batch(rows), 1e6))
+    words = {w for t in every for w in (t or "").encode().split()}
+    assert len(together) == 1 and sorted(spelled) == sorted(words)  # 120 texts of some 60,000 words in one go
+    alone = {}
+    for r in rows:
+        alone |= scored(language_model._score_batch(m, hot, batch([r]), 1e6))
+    assert sorted(spelled) == sorted(words)
+    got = scored(together)
+    assert got.keys() == alone.keys()
+    for i, want in alone.items():
+        assert got[i][:2] == want[:2] and got[i][4] == want[4] and got[i][2:4] == pytest.approx(want[2:4], rel=1e-6)
+
+
+def test_gradient_of_a_step_is_that_of_all_its_windows(monkeypatch):
+    rng = np.random.default_rng(4)
+    p, group = language_model.initial_weights(30, 3), rng.integers(0, language_model.CLASSES, 30)
+    rows = rng.integers(0, 30, (50, language_model.WINDOW + 1))
+    want = language_model.gradient(p, *language_model.examples(rows, group))
+    added = []
+    monkeypatch.setattr(language_model, "BATCH", 16)
+    of_ids = language_model.gradient_of_ids
+    monkeypatch.setattr(language_model, "gradient_of_ids", lambda *a: added.append(1) or of_ids(*a))
+    got = language_model.gradient_of(p, rows, group)
+    assert len(added) == 1 and got.keys() == want.keys() == p.keys()  # by id once a step, not once a part
+    for k in want:
+        np.testing.assert_allclose(got[k], want[k], atol=1e-6)
+
+
 def test_gradient_matches_differences():
     rng = np.random.default_rng(2)
     p = {k: x.astype(np.float64) for k, x in language_model.initial_weights(12, 3).items()}
