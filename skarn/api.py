@@ -175,7 +175,8 @@ class SearchEngine:
             return keyword
         if self.vectors is None or self.embed_query is None:
             raise ValueError("vector search needs vectors and embed_query")
-        said = " ".join(self._words(q)) if self.segment else " ".join(q.lower().split())  # as the documents were before they were embedded
+        # as the documents were before they were embedded: segmented, or else as they are
+        said = (" ".join(self._words(q)) or " ".join(q.lower().split())) if self.segment else q
         asked = self.docs.sparkSession.createDataFrame([(None, [float(x) for x in self.embed_query(said)])], "qid long, q array<double>")
         near = R.knn(self.vectors.select("doc_id", "v"), asked.withColumn("qid", F.lit(-1).cast("long")), pool).select(F.lit(0).cast("long").alias("qid"), "rank", "doc_id", F.col("cosine").alias("score"))
         return near if name == "vector" else R.reciprocal_rank_fusion([keyword, near], self.config.rrf_k)

@@ -49,6 +49,15 @@ def test_candidates(engine):
     assert top.doc_id == 2 and top.score == pytest.approx(1.0, abs=1e-5)
 
 
+def test_queries_are_embedded_as_documents_were(engine):
+    said = []
+    embed = lambda q: said.append(q) or hashed_vector(q, 16).tolist()
+    for segment, q in ((None, "Red\n fox"), (X.segmenter(["red fox"]), "Red\n fox !"), (X.segmenter(["red fox"]), "!!  !")):
+        asked = SearchEngine(engine.docs, vectors=engine.vectors, embed_query=embed, segment=segment)
+        assert asked._candidates(q, "vector", "bm25", 10).count() == 3
+    assert said == ["Red\n fox", "red_fox", "!! !"]
+
+
 def test_models(spark):
     v = hashed_vector("x")
     assert v.shape == (768,) and np.linalg.norm(v) == pytest.approx(1) and (v == hashed_vector("x")).all()
