@@ -28,17 +28,18 @@ and the scores are those of even odds; an empty table gives an empty result; oth
 
 from __future__ import annotations
 
+import ctypes
 import math
 import re
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,8 +69,8 @@ END = b""  # stands for the end token among words, which are never empty
 FLUSH_WORDS = 300_000
 #: The most frequent ids, whose places beside an id tell its class.
 NEAR = 128
-#: Words that a Python worker keeps spelled, and those of a flush in scoring, about.
-MOST_SPELLED, FLUSH_SCORED = 400_000, 4 * SEGMENT
+#: Words that a Python worker keeps spelled, ids that are scored and bytes of texts that are split at once, about.
+MOST_SPELLED, FLUSH_SCORED, TOGETHER = 400_000, 8 * SEGMENT, 6 << 20
 
 
 class Spelled:
@@ -78,22 +79,39 @@ class Spelled:
     def __init__(self) -> None:
         self.place = {END: 0}
         self.ids, self.start, self.length, self.within = np.ones(1, np.uint16), np.zeros(1, np.int64), np.ones(1, np.int64), np.zeros(1)
-        self.count = np.zeros(1)
+        self.count, self.used = np.zeros(1), np.zeros(1)
 
-    def places(self, words: list[bytes], vocabulary: Vocabulary, hot: dict[bytes, int] | None = None) -> np.ndarray:
-        """Of distinct words; those not met before are spelled."""
+    def places(self, words: list[bytes], vocabulary: Vocabulary | np.ndarray, hot: dict[bytes, int] | None = None) -> np.ndarray:
+        """Of distinct words; those not met before are spelled. Model ids of the public ids instead of a vocabulary give no odds."""
         if hot:
             self.count[0] = hot.get(END, 0)
-        new = [w for w in words if w not in self.place]
-        if new:
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(at < 0)
+        self.used[at[at >= 0]] += 1
+        if unknown.size:
+            new = [words[i] for i in unknown.tolist()]
             ids, length = public_ids(new)
+            at[unknown] = np.arange(len(self.place), len(self.place) + len(new))
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
             self.start = np.concatenate((self.start, self.ids.size + np.cumsum(length) - length))
             self.length = np.concatenate((self.length, length))
-            self.ids = np.concatenate((self.ids, vocabulary.to[ids].astype(np.uint16)))
-            self.within = np.concatenate((self.within, vocabulary.within(ids, length)))
-            self.count = np.concatenate((self.count, np.fromiter((hot.get(w, 0) for w in new) if hot else np.zeros(len(new)), np.float64, len(new))))
-        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+            odds = isinstance(vocabulary, Vocabulary)
+            self.ids = np.concatenate((self.ids, (vocabulary.to if odds else vocabulary)[ids].astype(np.uint16)))
+            self.used = np.concatenate((self.used, np.zeros(len(new))))
+            self.within = np.concatenate((self.within, vocabulary.within(ids, length) if odds else np.zeros(length.size)))
+            self.count = np.concatenate((self.count, np.fromiter(map(hot.get, new, repeat(0)) if hot else repeat(0, len(new)), np.float64, len(new))))
+        return at
+
+    def forget(self) -> None:
+        """All words but the end token and those that were asked for again, up to half of the bound."""
+        kept = np.argsort(-self.used[1:], kind="stable")[: MOST_SPELLED // 2] + 1
+        kept = np.concatenate(([0], np.sort(kept[self.used[kept] > 0])))
+        ids, length = self.laid_out(kept)
+        new = np.full(self.start.size, -1)
+        new[kept] = np.arange(kept.size)
+        self.place = {w: k for w, k in zip(self.place, new.tolist()) if k >= 0}  # words stand by their places
+        self.ids, self.start, self.length, self.within, self.count = ids, np.cumsum(length) - length, length, self.within[kept], self.count[kept]
+        self.used = np.zeros(kept.size)
 
     def laid_out(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words at these places, end to end, and how many each has."""
@@ -107,9 +125,11 @@ _SPELLED: dict[str, Spelled] = {}
 
 def spelled(tag: str) -> Spelled:
     """What this Python worker has spelled with a vocabulary, up to a bound."""
-    if tag not in _SPELLED or len(_SPELLED[tag].place) > MOST_SPELLED:
+    if tag not in _SPELLED:
         _SPELLED.clear()
         _SPELLED[tag] = Spelled()
+    if len(_SPELLED[tag].place) > MOST_SPELLED:
+        _SPELLED[tag].forget()
     return _SPELLED[tag]
 
 
@@ -145,21 +165,77 @@ def _look_up(codes: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.nd
     return np.where(codes[at] == wanted, counts[at], 0.0)
 
 
-ODD_SPACE = re.compile(r"[^\S ]|<\|")
+def keep_memory() -> None:
+    """Has this process keep up to 64 MB that it freed: else arrays of some 100 KB, made anew in every step, are given back to the system and
+    fetched again page by page, which takes a third of the time. Only with glibc; elsewhere nothing changes."""
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except (AttributeError, OSError, TypeError):
+        return
+    mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
+    mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts, end to end, and how many each has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, count = lists.flatten(), np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    blank = np.flatnonzero(pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False))  # before, behind or without words
+    if blank.size:
+        count -= np.bincount(np.repeat(np.arange(count.size), count)[blank], minlength=count.size)
+        words = words.filter(pc.greater(pc.binary_length(words), 0))
+    return words.cast(pa.binary()), count
+
+
+def row_groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Rows to take at a time, the first and how many, of TOGETHER bytes at most; a longer text alone."""
+    size = np.cumsum(1 + pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < size.size:
+        n = max(1, int(np.searchsorted(size, TOGETHER + (size[at - 1] if at else 0), side="right")) - at)
+        yield at, n
+        at += n
+
+
+def as_bytes(words: pa.Array) -> list[bytes]:
+    """to_pylist of a binary array without nulls, ten times as fast."""
+    if not len(words):
+        return []
+    edges = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data, edges = words.buffers()[2][int(edges[0]) : int(edges[-1])].to_pybytes(), (edges - edges[0]).tolist()
+    return [data[a:b] for a, b in zip(edges, edges[1:])]
+
+
+ODD_SPACE, ODD_IN_LINES = re.compile(r"[^\S ]|<\|"), re.compile(r"[^\S \n]|<\|")
 LINE = 198  # the id of a line feed
 
 
 def public_ids(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The public ids of words, each with its leading space, end to end, and how many each has. All are encoded in one call, on a
     line each; those with odd white space or special strings, which could reach over a line's end, by themselves."""
-    encode, said = encoder(), [" " + w.decode("utf-8", "replace") for w in words]
-    plain = [w for w in said if not ODD_SPACE.search(w)]
-    if len(plain) < len(said):
-        each = [encode(w).astype(np.int64) for w in said]
-        return np.concatenate(each), np.array([x.size for x in each])
-    ids = encode("\n".join(plain)).astype(np.int64)
+    encode, said = encoder(), lines(words)
+    odd = [x.start() for x in ODD_IN_LINES.finditer(said)]
+    alone = np.zeros(len(words), bool)
+    if odd:
+        alone[np.searchsorted(np.flatnonzero(np.frombuffer(said.encode("utf-32-le", "replace"), np.uint32) == ord("\n")), odd)] = True
+        said = lines([w for w, x in zip(words, alone.tolist()) if not x])
+    ids = encode(said).astype(np.int64)
     breaks = np.flatnonzero(ids == LINE)
-    return np.delete(ids, breaks), np.diff(np.concatenate(([-1], breaks, [ids.size]))) - 1
+    ids, length = np.delete(ids, breaks), (np.diff(np.concatenate(([-1], breaks, [ids.size]))) - 1)[: np.count_nonzero(~alone)]
+    if not odd:
+        return ids, length
+    each = [encode(lines([words[i]])).astype(np.int64) for i in np.flatnonzero(alone)]
+    every = np.empty(len(words), np.int64)
+    every[alone], every[~alone] = [x.size for x in each], length
+    by_itself = np.repeat(alone, every)
+    out = np.empty(by_itself.size, np.int64)
+    out[by_itself], out[~by_itself] = np.concatenate(each), ids
+    return out, every
+
+
+def lines(words: list[bytes]) -> str:
+    """Words with their leading space, on a line each."""
+    return (b" " + b"\n ".join(words)).decode("utf-8", "replace") if words else ""
 
 
 @dataclass
@@ -181,17 +257,6 @@ def causal_mask(distance: np.ndarray) -> np.ndarray:
     return np.where(back >= 0, np.exp(distance[np.maximum(back, 0)]), 0).astype(np.float32)
 
 
-def attend(m: Attention, window: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Class logits at the scored positions of windows of model ids."""
-    own = window[:, CONTEXT:]
-    a = m.query.take(own, axis=0) @ m.key.take(window, axis=0).transpose(0, 2, 1)
-    np.exp(a, out=a)
-    a *= mask
-    z = a @ m.value.take(window, axis=0)
-    z /= a.sum(-1, keepdims=True)
-    return z.reshape(-1, z.shape[-1]) @ m.out + m.direct.take(own.reshape(-1), axis=0)
-
-
 def layout(targets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For segments laid end to end: the inputs (each segment begins with CONTEXT + 1 start ids, then its targets but the last),
     and of each window its place in the inputs, in the targets, and the end of its segment there."""
@@ -207,23 +272,42 @@ def layout(targets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return inputs, np.repeat(first + CONTEXT * np.arange(sizes.size), n) + k, np.repeat(first, n) + k, np.repeat(first + sizes, n)
 
 
-def token_log_probs(m: Attention, targets: np.ndarray, sizes: np.ndarray, batch: int = 512) -> tuple[np.ndarray, np.ndarray]:
+def token_log_probs(m: Attention, targets: np.ndarray, sizes: np.ndarray, batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Natural log probability of every target's class, and of any class that begins a word there; segments of these sizes are laid end
-    to end."""
-    inputs, start, first, end = layout(targets, sizes)
-    group, begins = m.vocabulary.group, m.vocabulary.begins.astype(np.float32)
-    out, new, mask, span, scored = np.zeros(targets.size, np.float32), np.zeros(targets.size, np.float32), causal_mask(m.distance), np.arange(WINDOW), np.arange(STRIDE)
-    for b in range(0, start.size, batch):
-        to = (first[b : b + batch, None] + scored).reshape(-1)
-        own = (to.reshape(-1, STRIDE) < end[b : b + batch, None]).reshape(-1)
-        logits = attend(m, inputs[np.minimum(start[b : b + batch, None] + span, inputs.size - 1)], mask)
-        to, logits = (to, logits) if own.all() else (to[own], logits[own])
-        mine = logits[np.arange(to.size), group[targets[to]]]
+    to end. The windows are those of ``layout``: inputs lie in blocks of STRIDE, behind a block of start ids for each segment, so that a window is a
+    block with the ids before it, keys and values are looked up once, and windows share them."""
+    blocks = -(-sizes // STRIDE) + 1
+    at = np.arange(targets.size) + np.repeat(STRIDE * np.cumsum(blocks) - STRIDE * (blocks - 1) - (np.cumsum(sizes) - sizes), sizes)
+    inputs, group = np.zeros(STRIDE * int(blocks.sum()) + 1, targets.dtype), np.zeros(STRIDE * int(blocks.sum()), np.int64)
+    inputs[at + 1] = targets
+    inputs[STRIDE * (np.cumsum(blocks) - blocks + 1)] = 0
+    inputs[STRIDE * (np.cumsum(blocks) - blocks)] = 0  # where the last target of a segment would be an input
+    group[at] = m.vocabulary.group[targets] + CLASSES * (at % (STRIDE * batch))
+    out, new, mask, d = np.zeros(group.size, np.float32), np.zeros(group.size, np.float32), causal_mask(m.distance), m.key.shape[1]
+    both, ones = np.concatenate((m.key, m.value), 1), np.ones(WINDOW, np.float32)
+    sums = np.stack((np.ones(CLASSES), m.vocabulary.begins), 1).astype(np.float32)
+    for b in range(0, group.size, STRIDE * batch):
+        own = inputs[b : min(b + STRIDE * batch, group.size)]
+        before = inputs[b - CONTEXT : b] if b else np.zeros(CONTEXT, inputs.dtype)
+        kv = windowed(both.take(np.concatenate((before, own)), axis=0))
+        a = m.query.take(own, axis=0).reshape(-1, STRIDE, d) @ kv[..., :d].transpose(0, 2, 1)
+        np.exp(a, out=a)
+        a *= mask
+        z = (a @ kv[..., d:]).reshape(-1, d)
+        z /= (a.reshape(-1, WINDOW) @ ones)[:, None]
+        logits = z @ m.out
+        logits += m.direct.take(own, axis=0)
+        mine = logits.reshape(-1).take(group[b : b + own.size], mode="clip")
         np.exp(logits, out=logits)
-        total = np.log(logits.sum(-1))
-        out[to] = mine - total
-        new[to] = np.log(logits @ begins) - total
-    return out, new
+        total = np.log(logits @ sums)
+        np.subtract(mine, total[:, 0], out=out[b : b + own.size])
+        np.subtract(total[:, 1], total[:, 0], out=new[b : b + own.size])
+    return out[at], new[at]
+
+
+def windowed(t: np.ndarray) -> np.ndarray:
+    """The windows of CONTEXT + k * STRIDE rows, as a view."""
+    return np.lib.stride_tricks.as_strided(t, ((len(t) - CONTEXT) // STRIDE, WINDOW, t.shape[1]), (STRIDE * t.strides[0], *t.strides))
 
 
 def initial_weights(size: int, seed: int = 7) -> dict[str, np.ndarray]:
@@ -235,8 +319,9 @@ def initial_weights(size: int, seed: int = 7) -> dict[str, np.ndarray]:
 
 def gradient(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean cross-entropy of the classes y (-1: none) at the scored positions of windows x."""
-    grad, de = gradient_parts(p, x, y, int((y >= 0).sum()), causal_mask(p["r"]))
-    return grad | {"e": gradient_of_ids(x, de, p["e"])}
+    grad, de = gradient_parts(p, x, y, causal_mask(p["r"]))
+    n = max(1, int((y >= 0).sum()))
+    return {k: g / n for k, g in (grad | {"e": gradient_of_ids(x, de, p["e"])}).items()}
 
 
 def gradient_of_ids(x: np.ndarray, de: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -248,56 +333,60 @@ def gradient_of_ids(x: np.ndarray, de: np.ndarray, e: np.ndarray) -> np.ndarray:
     return out
 
 
-def gradient_parts(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, n: int, mask: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Of the sum of the cross-entropy over n: the gradient of all weights but "e", and a row for each id in x that goes to its row of "e"."""
-    scale, back = DIMENSIONS**-0.5, np.maximum(np.arange(CONTEXT, WINDOW)[:, None] - np.arange(WINDOW)[None, :], 0)
+def gradient_parts(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Of the sum of the cross-entropy: the gradient of all weights but "e", and a row for each id in x that goes to its row of "e"."""
+    d, kind, back = DIMENSIONS, p["e"].dtype.type, np.maximum(np.arange(CONTEXT, WINDOW)[:, None] - np.arange(WINDOW)[None, :], 0)
     flat = lambda t: t.reshape(-1, t.shape[-1])
-    d, own = DIMENSIONS, y >= 0
-    # products of the same rows are one: of every id its key and value, of a scored one its query and what it gives to the logits by itself
-    kv, qu = np.concatenate((p["k"], p["v"]), 1), np.concatenate((p["q"] * p["q"].dtype.type(scale), p["u"]), 1)
+    # products of the same rows are one: of every id its key and value; the logits are of a position's mean value, its own id and a one
+    kv, q_scaled, ouc = np.concatenate((p["k"], p["v"]), 1), p["q"] * kind(d**-0.5), np.concatenate((p["o"], p["u"], p["c"][None]))
     e = p["e"].take(x, axis=0)
-    flat_e, mine = flat(e), flat(np.ascontiguousarray(e[:, CONTEXT:]))
-    both, first = (flat_e @ kv).reshape(*x.shape, 2 * d), mine @ qu
-    k, v, q = both[..., :d], both[..., d:], first[:, :d].reshape(*y.shape, d)
+    flat_e, zm = flat(e), np.empty((y.size, 2 * d + 1), kind)
+    zm[:, d : 2 * d], zm[:, 2 * d] = flat(e[:, CONTEXT:]), 1
+    mine = zm[:, d : 2 * d]
+    both, q = (flat_e @ kv).reshape(*x.shape, 2 * d), (mine @ q_scaled).reshape(*y.shape, d)
+    k, v = both[..., :d], both[..., d:]
     a = q @ k.transpose(0, 2, 1)
-    np.exp(np.clip(a, -BOUND, BOUND, out=a), out=a)
+    np.exp(bounded(a), out=a)
     a *= mask
-    a /= np.einsum("bij->bi", a)[..., None]
-    z_mine = np.empty((mine.shape[0], 2 * d), mine.dtype)
-    z_mine[:, :d], z_mine[:, d:] = flat(a @ v), mine
-    g = z_mine[:, :d] @ p["o"]
-    g += first[:, d:]
-    g += p["c"]
-    np.exp(np.clip(g, -BOUND, BOUND, out=g), out=g)
-    g /= np.einsum("ij->i", g)[:, None]
-    g[np.arange(y.size), np.maximum(y, 0).reshape(-1)] -= 1
-    g *= (own.reshape(-1) / max(1, n)).astype(g.dtype)[:, None]
-    dz = (g @ p["o"].T).reshape(*y.shape, d)
+    a *= (1 / (flat(a) @ np.ones(WINDOW, kind))).reshape(*y.shape, 1)
+    np.matmul(a, v, out=zm[:, :d].reshape(*y.shape, d, copy=False))
+    g = zm @ ouc
+    np.exp(bounded(g), out=g)
+    g *= (1 / (g @ np.ones(CLASSES, kind)))[:, None]
+    g.reshape(-1)[np.arange(0, g.size, CLASSES) + np.maximum(y, 0).reshape(-1)] -= 1
+    if y.min(initial=0) < 0:
+        g[y.reshape(-1) < 0] = 0
+    dzm = g @ ouc[: 2 * d].T
+    dz = dzm[:, :d].reshape(*y.shape, d, copy=False)
     ds = dz @ v.transpose(0, 2, 1)
-    ds -= np.einsum("bij,bij->bi", ds, a)[..., None]
+    ds -= np.einsum("ij,ij->i", dzm[:, :d], zm[:, :d]).reshape(*y.shape, 1)
     ds *= a
-    dqu, dkv = np.empty_like(first), np.empty_like(both)
-    dqu[:, :d], dqu[:, d:] = flat(ds @ k), g
+    dq, dkv = flat(ds @ k), np.empty_like(both)
     np.matmul(ds.transpose(0, 2, 1), q, out=dkv[..., :d])
     np.matmul(a.transpose(0, 2, 1), dz, out=dkv[..., d:])
-    de = (flat(dkv) @ kv.T).reshape(e.shape)
-    de[:, CONTEXT:] += (dqu @ qu.T).reshape(*y.shape, d)
-    of_kv, of_both = flat_e.T @ flat(dkv), z_mine.T @ dqu
-    of_qu = of_both[d:]
-    grad = {"o": of_both[:d, d:], "u": of_qu[:, d:], "c": g.sum(0), "q": of_qu[:, :d] * scale, "k": of_kv[:, :d], "v": of_kv[:, d:], "r": np.bincount(back.reshape(-1), ds.sum(0).reshape(-1), WINDOW)}
-    return grad, flat(de)
+    de, own = (flat(dkv) @ kv.T).reshape(e.shape), dq @ q_scaled.T
+    own += dzm[:, d:]
+    de[:, CONTEXT:] += own.reshape(*y.shape, d)
+    of_kv, of_ouc = flat_e.T @ flat(dkv), zm.T @ g
+    grad = {"o": of_ouc[:d], "u": of_ouc[d : 2 * d], "c": of_ouc[2 * d], "q": mine.T @ dq * kind(d**-0.5), "k": of_kv[:, :d], "v": of_kv[:, d:]}
+    return grad | {"r": np.bincount(back.reshape(-1), ds.sum(0).reshape(-1), WINDOW)}, flat(de)
+
+
+def bounded(t: np.ndarray) -> np.ndarray:
+    """t, cut to BOUND in place where it goes beyond."""
+    return t if -BOUND <= t.min(initial=0) and t.max(initial=0) <= BOUND else np.clip(t, -BOUND, BOUND, out=t)
 
 
 def gradient_of(p: dict[str, np.ndarray], rows: np.ndarray, group: np.ndarray) -> dict[str, np.ndarray]:
     """``gradient`` over windows (rows of model ids), by parts that a processor's cache holds."""
     x, y = examples(rows, group)
-    n, mask = int((y >= 0).sum()), causal_mask(p["r"])
+    n, mask = np.float32(1 / max(1, int((y >= 0).sum()))), causal_mask(p["r"])
     total, de = {k: np.zeros_like(v) for k, v in p.items() if k != "e"}, np.empty((x.size, DIMENSIONS), np.float32)
     for at in range(0, len(x), BATCH):
-        part, de[at * WINDOW : (at + BATCH) * WINDOW] = gradient_parts(p, x[at : at + BATCH], y[at : at + BATCH], n, mask)
+        part, de[at * WINDOW : (at + BATCH) * WINDOW] = gradient_parts(p, x[at : at + BATCH], y[at : at + BATCH], mask)
         for k, g in part.items():
             total[k] += g.astype(np.float32)
-    return total | {"e": gradient_of_ids(x, de, p["e"])}
+    return {k: g * n for k, g in (total | {"e": gradient_of_ids(x, de, p["e"])}).items()}
 
 
 def descend(p: dict[str, np.ndarray], rows: np.ndarray, group: np.ndarray, rate: float, seed: int) -> dict[str, np.ndarray]:
@@ -388,20 +477,26 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, c) over all texts, the end token among them. Tasks count what they read and pass on counts, in bounded tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        held: list[pa.Table] = []
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"])
 
+        waiting = 0
         for b in batches:
-            for t in b.column(0).cast(pa.binary()):
-                counts.update((t.as_py() or b"").lower().split())
-                counts[END] += 1
-                if len(counts) > FLUSH_WORDS:
-                    yield out()
-                    counts.clear()
-        if counts:
-            yield out()
+            for at, n in row_groups(b.column(0)):
+                found = split_words(b.column(0).slice(at, n))[0].value_counts()
+                held.append(pa.table({"word": found.field(0), "c": found.field(1).cast(pa.int64())}))
+                held.append(pa.table({"word": pa.array([END], pa.binary()), "c": pa.array([n], pa.int64())}))
+                waiting += len(found)
+                if waiting > 2 * FLUSH_WORDS:
+                    held = [summed()]
+                    waiting = held[0].num_rows
+                    if waiting > FLUSH_WORDS:
+                        yield from held[0].to_batches()
+                        held, waiting = [], 0
+        if held:
+            yield from summed().to_batches()
 
     return map_arrow(docs.select(text_col), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -466,36 +561,25 @@ def begins_word() -> np.ndarray:
     return out
 
 
-def text_ids(texts: list[list[bytes]]) -> list[np.ndarray]:
-    """The public ids of texts, each a list of words, spelled word by word."""
-    out = [np.zeros(0, np.int64)] * len(texts)
-    joined = [b" ".join(t) for t in texts]
-    odd = [bool(ODD_SPACE.search(j.decode("utf-8", "replace"))) for j in joined]
-    plain = [i for i, t in enumerate(texts) if t and not odd[i]]
-    if plain:
-        ids, length = public_ids([joined[i] for i in plain])
-        for i, own in zip(plain, np.split(ids, np.cumsum(length)[:-1])):
-            out[i] = own
-    for i, t in enumerate(texts):
-        if odd[i]:
-            out[i] = public_ids(t)[0]
-    return out
-
-
 def training_pieces(training: DataFrame, to: np.ndarray, key: str = "u", text_col: str = "text") -> DataFrame:
     """(at, n, x): every text's model ids and its end in pieces of PIECE targets, each behind the CONTEXT + 1 ids before them (start ids at
     the text's start), packed; n is how many windows a piece has, ``at`` a hash of it, of the row's key and its place in the batch."""
+    tag, start = uuid.uuid4().hex, np.zeros(CONTEXT + 1, np.uint16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        short = to.astype(np.uint16)
+        keep_memory()
         for b in batches:
             keys = (b.column(0).to_numpy() & 0xFFFFFFFF).tolist()
-            for at in range(0, b.num_rows, 100):
+            for at, rows in row_groups(b.column(1)):
                 hashes, n, packed = [], [], []
-                texts = [(t.as_py() or b"").lower().split() for t in b.column(1).slice(at, 100).cast(pa.binary())]
-                for i, ids in enumerate(text_ids(texts)):
-                    own = np.concatenate((np.zeros(CONTEXT + 1, np.uint16), short[ids], np.ones(1, np.uint16)))
-                    for first in range(0, ids.size + 1, PIECE):
+                words, count = split_words(b.column(1).slice(at, rows))
+                words, store = words.dictionary_encode(), spelled(tag)
+                every = with_ends(store.places(as_bytes(words.dictionary), to)[words.indices.to_numpy()], count)
+                ids, length = store.laid_out(every)
+                ends = np.cumsum(length)[np.cumsum(count + 1) - 1]
+                for i, own in enumerate(np.split(ids, ends[:-1])):
+                    own = np.concatenate((start, own))
+                    for first in range(0, own.size - CONTEXT - 1, PIECE):
                         x = own[first : first + CONTEXT + 1 + PIECE].tobytes()
                         # copies in one table are dealt to different trainers
                         hashes.append(zlib.crc32(b"%d %d" % (at + i, first), zlib.crc32(x, keys[at + i])))
@@ -565,6 +649,7 @@ def train_round(pieces: DataFrame, p: dict[str, np.ndarray], group: np.ndarray,
     shared = pieces.sparkSession.sparkContext.broadcast((p, group))
 
     def learn(t: pa.Table) -> pa.Table:
+        keep_memory()
         p, group = shared.value
         rows = windows_of([x for _, x in sorted(zip(t["at"].to_pylist(), t["x"].to_pylist()))])  # however the rows came
         new = descend(p, rows, group, rate, len(rows))
@@ -631,10 +716,10 @@ def score(docs: DataFrame, is_training: Column, hot_words: int = 200_000, id_col
     denominator = total + 0.1 * (vocab + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         model, hot = shared.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 400):
-                yield from _score_batch(model, hot, whole.slice(at, 400), denominator)
+        for b in batches:
+            yield from _score_batch(model, hot, b, denominator)
 
     parts = map_arrow(named.select("u", "t", text_col), run, PARTS)
     parts = parts.join(counts.withColumnRenamed("word", "_w"), F.col("word") == F.col("_w"), "left")
@@ -650,52 +735,45 @@ def score(docs: DataFrame, is_training: Column, hot_words: int = 200_000, id_col
 
 def _score_batch(model: Attention, hot: dict[bytes, int], rows: pa.RecordBatch, denominator: float) -> Iterator[pa.RecordBatch]:
     """Of each segment of a document a row of sums over its words, without the base score of rare words, and a row for each rare word."""
-    held: list[list[bytes]] = []
-    owner: list[int] = []
-    waiting = 0
     u, t = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-
-    def flush(first: list[bool]) -> pa.RecordBatch:
-        n = len(held)
-        of = np.repeat(np.arange(n), [len(h) for h in held])
-        words, code = distinct(held)
-        store = spelled(model.vocabulary.tag)
-        place = store.places(words, model.vocabulary, hot)
+    for at, n_rows in row_groups(rows.column(2)):
+        words, count = split_words(rows.column(2).slice(at, n_rows))
+        words, store = words.dictionary_encode(), spelled(model.vocabulary.tag)
+        spelling = pa.concat_arrays([pa.array([END], pa.binary()), words.dictionary])
+        place = np.concatenate(([0], store.places(as_bytes(words.dictionary), model.vocabulary, hot)))
+        every = with_ends(words.indices.to_numpy() + np.int64(1), count)
         c = store.count[place]
-        log_p = word_log_probs(model, held, store, place[code])
         base, is_hot = np.where(c > 0, np.log10((c + 0.1) / denominator), 0.0), c > 0
-        tokens, n_known, bases, scores = (np.bincount(of, x, n) for x in (np.ones(of.size), is_hot[code], base[code], log_p))
-        pairs, times = np.unique((of * len(words) + code)[~is_hot[code]], return_counts=True)
-        rare = [(i // len(words), words[i % len(words)]) for i in pairs.tolist()]
-        zeros = np.zeros(len(rare))
-        at = np.array(owner)[np.concatenate((np.arange(n), np.fromiter((i for i, _ in rare), np.int64, len(rare))))]
-        # a key of its own for each segment's row, which can't be a word: null keys would all be dealt to one task
-        keys = [b" %d" % u[i] for i in owner] + [w for _, w in rare]
-        columns = [
-            pa.array(u[at]), pa.array(t[at]), *(pa.array(np.concatenate((x, zeros)).astype(np.int64)) for x in (first, tokens, n_known)),
-            *(pa.array(np.concatenate((x, zeros))) for x in (bases, scores)), pa.array(keys, pa.binary()), pa.array([0] * n + times.tolist(), pa.int64()),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in PARTS.split(", ")])
-
-    first: list[bool] = []  # the first segment of a row counts the row
-    for i, text in enumerate(rows.column(2).cast(pa.binary())):
-        whole = text.as_py() or b""
-        words = whole.lower().split()
-        words.append(END)
-        waiting += len(whole) // 8  # long words have many ids
-        for at in range(0, len(words), SEGMENT):
-            held.append(words[at : at + SEGMENT])
-            owner.append(i)
-            first.append(at == 0)
-            waiting += len(held[-1])
-            if waiting > FLUSH_SCORED:
-                yield flush(first)
-                held.clear()
-                owner.clear()
-                first.clear()
-                waiting = 0
-    if held:
-        yield flush(first)
+        # segments of the texts with their ends
+        n = -(-(count + 1) // SEGMENT)
+        row, k = np.repeat(np.arange(n_rows), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        size, last = np.minimum(count[row] + 1 - SEGMENT * k, SEGMENT), k == n[row] - 1
+        begin = np.concatenate(([0], np.cumsum(size)))
+        run = np.cumsum(np.add.reduceat(store.length[place[every]], begin[:-1])) // FLUSH_SCORED
+        edges = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), run.size]
+        for first, end in zip(edges, edges[1:]):
+            own = slice(first, end)
+            code, of = every[begin[first] : begin[end]], np.repeat(np.arange(end - first), size[own])
+            log_p = log_probs_of(model, store, place[code], size[own], ~last[own])
+            tokens, n_known, bases, scores = (np.bincount(of, x, end - first) for x in (np.ones(of.size), is_hot[code], base[code], log_p))
+            pairs, times = np.unique((of * place.size + code)[~is_hot[code]], return_counts=True)
+            owner, rare = at + row[own], pairs // place.size
+            by, zeros = np.concatenate((owner, owner[rare])), np.zeros(rare.size)
+            # a key of its own for each segment's row, which can't be a word: null keys would all be dealt to one task
+            keys = pa.concat_arrays([pa.array([b" %d" % u[i] for i in owner], pa.binary()), spelling.take(pa.array(pairs % place.size))])
+            columns = [
+                pa.array(u[by]), pa.array(t[by]), *(pa.array(np.concatenate((x, zeros)).astype(np.int64)) for x in (k[own] == 0, tokens, n_known)),
+                *(pa.array(np.concatenate((x, zeros))) for x in (bases, scores)), keys, pa.array(np.concatenate((np.zeros(owner.size, np.int64), times))),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in PARTS.split(", ")])
+
+
+def with_ends(words: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The words of texts that have ``count`` words each, and 0 behind each text."""
+    out, is_word = np.zeros(words.size + count.size, np.int64), np.ones(words.size + count.size, bool)
+    is_word[np.cumsum(count + 1) - 1] = False
+    out[is_word] = words
+    return out
 
 
 def distinct(segments: list[list[bytes]]) -> tuple[list[bytes], np.ndarray]:
@@ -704,16 +782,17 @@ def distinct(segments: list[list[bytes]]) -> tuple[list[bytes], np.ndarray]:
     return every.dictionary.to_pylist(), every.indices.to_numpy()[1:].astype(np.int64)
 
 
-def word_log_probs(model: Attention, segments: list[list[bytes]], store: Spelled | None = None, place: np.ndarray | None = None) -> np.ndarray:
-    """log10 probability under attention of every word of segments, each a run of words with a context of its own. A segment that doesn't end
+def word_log_probs(model: Attention, segments: list[list[bytes]]) -> np.ndarray:
+    """``log_probs_of`` of segments, each a list of words."""
+    words, code = distinct(segments)
+    store = spelled(model.vocabulary.tag)
+    return log_probs_of(model, store, store.places(words, model.vocabulary)[code], np.array([len(s) for s in segments]), np.array([s[-1] != END for s in segments]))
+
+
+def log_probs_of(model: Attention, store: Spelled, place: np.ndarray, count: np.ndarray, open_end: np.ndarray) -> np.ndarray:
+    """log10 probability under attention of every word of segments, each a run of ``count`` words with a context of its own. A segment that doesn't end
     with the end token gets one that isn't scored, so that the mass of what may follow its last word is known. place tells the words' places
     in store."""
-    if store is None or place is None:
-        words, code = distinct(segments)
-        store = spelled(model.vocabulary.tag)
-        place = store.places(words, model.vocabulary)[code]
-    count = np.array([len(s) for s in segments])
-    open_end = np.array([s[-1] != END for s in segments])
     scored = np.ones(place.size + int(open_end.sum()), bool)
     edges = np.cumsum(count + open_end)
     scored[edges[open_end] - 1] = False

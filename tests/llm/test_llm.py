@@ -615,6 +615,51 @@ def test_words_are_spelled_once_and_scored_together(monkeypatch):
         assert got[i][:2] == want[:2] and got[i][4] == want[4] and got[i][2:4] == pytest.approx(want[2:4], rel=1e-6)
 
 
+def test_training_texts_are_spelled_word_by_word_once(spark, monkeypatch):
+    """Each distinct word once for all texts of a batch, and after the worker's store was cut down only words that it forgot."""
+    m, spelled, spell = language_model, [], language_model.public_ids
+    every = [t.lower().encode() for t in texts(40, 6)] * 3 + [None, b"", b" \t ", "x\u00a0 \u2028y\n<|endoftext|> don't".encode()]
+    monkeypatch.setattr(m, "public_ids", lambda words: spelled.extend(words) or spell(words))
+    monkeypatch.setattr(m, "map_arrow", lambda df, run, schema: run)
+    to = m.model_ids(np.arange(0, m.SUBWORDS, 3), m.begins_word())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(every)), pa.int64()), pa.array([t and t.decode() for t in every], pa.string())], names=["u", "text"])
+    run = m.training_pieces(docs_of(spark, []).withColumn("u", F.lit(1)), to)
+    found = [r for b in run(iter([batch])) for r in b.to_pylist()]
+    words = {w for t in every for w in (t or b"").split()}
+    assert sorted(spelled) == sorted(words)
+    monkeypatch.setattr(m, "TOGETHER", 500)
+    monkeypatch.setattr(m, "MOST_SPELLED", 60)
+    assert [r for b in run(iter([batch, batch])) for r in b.to_pylist()] == found * 2
+
+
+def test_words_are_split_as_bytes_are():
+    rng = np.random.default_rng(8)
+    marks = ["a", "Z", "É", " ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x85", "\u00a0", "\u2028", "\x00"]
+    every = [None, "", " ", "\n\t"] + ["".join(rng.choice(marks, n)) for n in rng.integers(0, 12, 400)]
+    for some in (every, [None, " "], []):
+        words, count = language_model.split_words(pa.array(some, pa.string()))
+        want = [(t or "").encode().lower().split() for t in some]
+        assert language_model.as_bytes(words) == words.to_pylist() == [w for t in want for w in t] and count.tolist() == [len(t) for t in want]
+        assert language_model.as_bytes(words.slice(3, 5)) == words.to_pylist()[3:8]
+
+
+def test_runs_of_scoring_do_not_change_the_sums(monkeypatch):
+    """Whatever is split, scored and kept at once; with long texts in segments."""
+    m, said = small_model()
+    rows = [(i, " ".join(t.decode() for t in said[i : i + 9])) for i in range(30)] + [(50, None), (51, " "), (52, "rare\u00a0one " * 3)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([7] * len(rows), pa.int64()), pa.array([t for _, t in rows], pa.string())], names=["u", "t", "text"])
+    hot = {w: 3 for w in said[0].split()} | {b"": 9}
+    monkeypatch.setattr(language_model, "SEGMENT", 64)
+    scored = lambda: sorted((r for b in language_model._score_batch(m, hot, batch, 1e6) for r in b.to_pylist()), key=lambda r: (r["u"], r["k"], r["word"], r["n_tokens"], r["score"]))
+    want = scored()
+    for name, value in (("FLUSH_SCORED", 150), ("TOGETHER", 700), ("MOST_SPELLED", 40)):
+        monkeypatch.setattr(language_model, name, value)
+        got = scored()
+        assert [{k: x for k, x in r.items() if k not in ("base", "score")} for r in got] == [{k: x for k, x in r.items() if k not in ("base", "score")} for r in want]
+        for k in ("base", "score"):
+            assert [r[k] for r in got] == pytest.approx([r[k] for r in want], rel=1e-5)
+
+
 def test_gradient_of_a_step_is_that_of_all_its_windows(monkeypatch):
     rng = np.random.default_rng(4)
     p, group = language_model.initial_weights(30, 3), rng.integers(0, language_model.CLASSES, 30)
