@@ -167,7 +167,7 @@ def _look_up(codes: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.nd
 
 def keep_memory() -> None:
     """Has this process keep up to 64 MB that it freed: else arrays of some 100 KB, made anew in every step, are given back to the system and
-    fetched again page by page, which takes a third of the time. Only with glibc; elsewhere nothing changes."""
+    fetched again page by page, which took a third of the time of repeated steps in a fresh process. Only with glibc; elsewhere nothing changes."""
     try:
         mallopt = ctypes.CDLL(None).mallopt
     except (AttributeError, OSError, TypeError):
