@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skarn.functions.runtime import cut
 from skarn.functions.text import char_kgrams, jaccard
 from skarn.operators.index import Index
 
@@ -24,11 +25,17 @@ def synonyms(queries: DataFrame, groups: DataFrame, most: int = 4) -> DataFrame:
     return first.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("qid", "place", "phrase")
 
 
-def rocchio_terms(index: Index, feedback: DataFrame, query_terms: DataFrame, stopwords: DataFrame, n_terms: int = 8, field: str = "content") -> DataFrame:
-    """(qid, place, term, freq): most frequent terms of feedback(qid, doc_id), at least two characters and one letter, neither
+#: Feedback of at most so many documents is broadcast.
+FEEDBACK_ROWS = 1_000_000
+
+
+def rocchio_terms(index: Index, feedback: DataFrame, query_terms: DataFrame, stopwords: DataFrame, n_terms: int = 8, field: str = "content", letters: bool = True) -> DataFrame:
+    """(qid, place, term, freq): most frequent terms of feedback(qid, doc_id), at least two characters and (unless ``letters`` is off) one letter, neither
     in the query nor a stopword (of a compound its first part is looked up); ties by term."""
-    rows = index.fields.where(F.col("field") == field).join(feedback.select("qid", "doc_id"), "doc_id")
-    t = rows.select("qid", F.explode("tokens").alias("term")).where((F.length("term") >= 2) & F.col("term").rlike(r"\p{L}"))
+    feedback = cut(feedback.select("qid", "doc_id"))
+    rows = index.fields.where(F.col("field") == field).join(F.broadcast(feedback) if feedback.count() <= FEEDBACK_ROWS else feedback, "doc_id")
+    t = rows.select("qid", F.explode("tokens").alias("term")).where(F.length("term") >= 2)
+    t = t.where(F.col("term").rlike(r"\p{L}")) if letters else t
     t = t.groupBy("qid", "term").agg(F.count("*").alias("freq")).join(query_terms.select("qid", "term"), ["qid", "term"], "left_anti")
     t = t.join(stopwords.select(F.col("word").alias("_w")), F.substring_index("term", "_", 1) == F.col("_w"), "left_anti")
     order = Window.partitionBy("qid").orderBy(F.desc("freq"), "term")

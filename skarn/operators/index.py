@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skarn.functions import text as X
-from skarn.functions.runtime import shuffle_partitions
+from skarn.functions.runtime import cut, map_arrow, shuffle_partitions, stage
+from skarn.operators import matches
 
 Field = tuple[str, Callable[[Column], Column], Callable[[Column], Column]]
 #: Fields of a search document: name, what of the text, and its tokens.
@@ -21,9 +23,8 @@ FOLDED: tuple[Field, ...] = (("title_folded", X.title_of, X.folded_tokens), ("co
 class Index:
     """fields(doc_id, field, dl, tokens): one row for each document and non-empty field, never shuffled.
 
-    Without a stored table postings are made for the terms that are asked for: the scan explodes tokens, a join with the terms (small:
-    broadcast by Spark where their size allows) leaves those of the queries, and only these are
-    aggregated. ``store`` writes all postings once, dealt into folders by term, and a search then reads the folders and row groups of its
+    Without a stored table postings are counted for the terms that are asked for, in the scan of the documents and row by row, so nothing is shuffled. ``store``
+    writes all postings once, dealt into folders by term, and a search then reads the folders and row groups of its
     terms only. Statistics come from all documents, whatever filters a search has.
     """
 
@@ -35,6 +36,18 @@ class Index:
         wanted = terms.select("term").distinct().withColumn("bucket", bucket_of(F.col("term")))
         return self.stored.join(wanted, ["bucket", "term"], "left_semi")
 
+    def _scan(self, fn, terms: DataFrame | None, schema: str, **more: bool) -> DataFrame:
+        """fn over all rows for these terms or for all; more terms than TERMS are joined with what is counted of all."""
+        few = None if terms is None else terms.select("term").where("term is not null").distinct().limit(TERMS + 1).collect()
+        joined = few is not None and len(few) > TERMS
+        asked = None if few is None or joined else pa.array([r[0] for r in few], pa.string())
+        key = self.fields.schema["doc_id"].dataType.simpleString()
+        out = map_arrow(self.fields.select("doc_id", "field", "dl", "tokens"), fn(asked, **more), schema.format(key))
+        if not joined:
+            return out
+        kept = out.join(terms.select("term").distinct(), "term", "left_semi").select(out.columns)
+        return kept.union(out.where("term is null")) if more.get("lengths") else kept
+
     def tokens(self, terms: DataFrame | None = None) -> DataFrame:
         """(doc_id, field, dl, pos, term), of these terms or of all."""
         if self.stored is not None and terms is not None:
@@ -46,14 +59,46 @@ class Index:
         """(field, term, doc_id, dl, tf), of these terms or of all."""
         if self.stored is not None:
             return (self.stored if terms is None else self._stored(terms)).select("field", "term", "doc_id", "dl", "tf")
-        t = self.fields.select("doc_id", "field", "dl", F.explode("tokens").alias("term"))
-        if terms is not None:
-            t = t.join(terms.select("term").distinct(), "term", "left_semi")
-        return t.groupBy("field", "term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+        return self._scan(matches.count_terms, terms, POSTING)
+
+    def search(self, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The postings of these terms and the field_stats, both of one scan, to be read several times."""
+        if self.stored is not None:
+            return self.postings(terms), self.field_stats()
+        rows = stage(self._scan(matches.count_terms, terms, POSTING, lengths=True))
+        return rows.where("term is not null"), _field_stats(rows.where("term is null"))
+
+    def term_stats(self, terms: DataFrame | None = None) -> DataFrame:
+        """(field, term, df, cf), of these terms or of all."""
+        if self.stored is not None:
+            return term_stats(self.postings(terms))
+        return _added(self._scan(matches.count_statistics, terms, STATISTIC))
+
+    def statistics(self, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The term_stats of these terms and the field_stats, both of one scan, to be read several times."""
+        if self.stored is not None:
+            return term_stats(self.postings(terms)), self.field_stats()
+        rows = cut(_added(self._scan(matches.count_statistics, terms, STATISTIC, lengths=True)))
+        fields = rows.where("term is null").select("field", F.col("df").alias("n_docs"), F.col("cf").alias("total_tokens"), (F.col("cf") / F.col("df")).alias("avgdl"))
+        return rows.where("term is not null"), fields
 
     def field_stats(self) -> DataFrame:
         """(field, n_docs, total_tokens, avgdl) over all documents that have the field."""
-        return self.fields.groupBy("field").agg(F.count("*").alias("n_docs"), F.sum("dl").alias("total_tokens"), F.avg("dl").alias("avgdl"))
+        return _field_stats(self.fields)
+
+
+POSTING = "field string, term string, doc_id {}, dl long, tf long"
+STATISTIC = "field string, term string, df long, cf long"
+#: So many terms at most go to the workers of a scan.
+TERMS = 200_000
+
+
+def _added(statistics: DataFrame) -> DataFrame:
+    return statistics.groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
+def _field_stats(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("field").agg(F.count("*").alias("n_docs"), F.sum("dl").alias("total_tokens"), F.avg("dl").alias("avgdl"))
 
 
 BUCKETS = 32

@@ -196,7 +196,8 @@ def compile_tree(tree, index: Index, by: str = "bm25") -> DataFrame:
 def simple_search(segmented: Index, folded: Index, terms: DataFrame, folded_terms: DataFrame, by: str = "bm25") -> DataFrame:
     """(qid, doc_id, score) of simple queries: the sum of the segmented and folded best fields and the folded phrase
     (slop 1); one must match. terms and folded_terms have (qid, off, term)."""
-    a = R.best_field(R.field_scores(segmented, terms, {"title": TITLE, "content": CONTENT, "anchor": ANCHOR}, by))
-    b = R.best_field(R.field_scores(folded, folded_terms, {"title_folded": 1.5, "content_folded": 1.0}, by)).withColumn("score", F.col("score") * FOLDED_BOOST)
-    c = R.phrase_scores(folded, folded_terms, {"title_folded": PHRASE_TITLE, "content_folded": PHRASE_CONTENT}, 1)
+    words, plain = R.search(segmented, terms, {"title": TITLE, "content": CONTENT, "anchor": ANCHOR}), R.search(folded, folded_terms, {"title_folded": 1.5, "content_folded": 1.0})
+    tasks = max(words.tasks, plain.tasks)  # all three lists are dealt alike, so adding them moves nothing
+    a, b = R.best_field(words.scores(by, tasks=tasks)), R.best_field(plain.scores(by, tasks=tasks)).withColumn("score", F.col("score") * FOLDED_BOOST)
+    c = R.phrase_scores(folded, folded_terms, {"title_folded": PHRASE_TITLE, "content_folded": PHRASE_CONTENT}, 1, tasks)
     return R.add_scores(a, b, c)
