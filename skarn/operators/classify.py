@@ -7,6 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skarn.functions.runtime import cut, map_arrow, stage
+from skarn.operators import matches
+from skarn.operators.index import POSTING
+
+#: So many words at most meet the texts where they are.
+OFTEN = 100_000
+
 
 @dataclass(frozen=True)
 class NaiveBayes:
@@ -19,7 +26,7 @@ class NaiveBayes:
 def train(docs: DataFrame, tokens: Column, id_col: str = "doc_id", label: str = "label") -> NaiveBayes:
     """Blank labels are skipped; class_pos is the order in which classes first appear by id."""
     rows = docs.where(F.trim(F.col(label).cast("string")) != "").select(F.col(id_col).alias("id"), F.col(label).alias("label"), tokens.alias("t"))
-    words = rows.select("label", F.explode("t").alias("term")).groupBy("label", "term").agg(F.count("*").alias("n"))
+    words = stage(rows.select("label", F.explode("t").alias("term")).groupBy("label", "term").agg(F.count("*").alias("n")))
     vocab = words.agg(F.count_distinct("term").alias("vocab"))
     sizes = words.groupBy("label").agg(F.sum("n").alias("tokens"))
     counts = rows.groupBy("label").agg(F.count("*").alias("docs"), F.min("id").alias("first"))
@@ -36,9 +43,18 @@ def predict(docs: DataFrame, tokens: Column, model: NaiveBayes, id_col: str = "d
     knows are joined.
     """
     rows = docs.select(F.col(id_col).alias("id"), tokens.alias("t"))
-    bags = rows.select("id", F.explode("t").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    known = bags.join(model.words, "term").groupBy("id", "label").agg(F.sum(F.col("tf") * F.log(F.col("n") + 1.0)).alias("hit"))
-    every = rows.select("id", F.size("t").alias("size")).join(F.broadcast(model.classes))
+    # one scan counts each document's words; a word of its own, null, stands for the document
+    per_row = rows.select(F.col("id").alias("doc_id"), F.lit("").alias("field"), F.size("t").cast("long").alias("dl"), F.col("t").alias("tokens"))
+    counted = stage(map_arrow(per_row, matches.count_terms(None, lengths=True), POSTING.format(rows.schema["id"].dataType.simpleString())))
+    bags = counted.where("term is not null").select(F.col("doc_id").alias("id"), "term", "tf")
+    # the most frequent words, which are most of a text, are met where the text is; only the others are shuffled
+    often = cut(model.words.groupBy("term").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "term").limit(OFTEN).select("term"))
+    hot = cut(model.words.join(F.broadcast(often), "term"))
+    met = bags.join(F.broadcast(hot), "term").select("id", "label", "tf", "n")
+    rest = bags.join(F.broadcast(often), "term", "left_anti").join(model.words, "term").select("id", "label", "tf", "n")
+    hit = F.sum(F.col("tf") * F.log(F.col("n") + 1.0)).alias("hit")
+    known = met.groupBy("id", "label").agg(hit).union(rest.groupBy("id", "label").agg(hit)).groupBy("id", "label").agg(F.sum("hit").alias("hit"))
+    every = counted.where("term is null").select(F.col("doc_id").alias("id"), F.col("dl").cast("int").alias("size")).join(F.broadcast(model.classes))
     scored = every.join(known, ["id", "label"], "left").select(
         "id", "label", "class_pos", "size",
         F.round(F.log(F.col("docs") / F.col("n_docs")) + F.coalesce("hit", F.lit(0.0)) - F.col("size") * F.log((F.col("tokens") + F.col("vocab")).cast("double")), 6).alias("score"),
